@@ -1,8 +1,51 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline of five stages over documents: toxic ones go, bad ones go, one of each near-duplicate group stays, sources are mixed, sequences are packed.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from dqlens.llm import jaccard, mixing, packing, quality, toxicity
+from dqlens.llm.common import shared_dir, table
+from dqlens.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    chain = toxicity.fit(toxicity.sampled(docs, table(spark, sf_dir, "labels")))
+    return toxicity.keep_clean(docs, chain)
+
+
+def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", drop_toxic), ("quality rules", drop_bad), ("n-gram Jaccard join", drop_near_duplicates), ("mixing sources to target weights", mix_sources), ("best-fit packing", pack)]
+
+#: Models, pseudorandom draws and a tokenizer are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, each stage's result written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        path = f"{shared_dir(spark)}/dqlens-stage-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
