@@ -101,7 +101,8 @@ def numbered(df: DataFrame, keys: list[str], order: list, bucket: Column, name:
         e = F.col(c).eqNullSafe(F.col(f"__c{i}"))
         cond = e if cond is None else cond & e
     w = Window.partitionBy(*by).orderBy(*order)
-    out = df.join(right, cond).withColumn(name, F.col("__n0") + F.row_number().over(w) - 1)
+    # sizes of exploded rows are estimated far too low, so a broadcast is ruled out
+    out = df.join(right.hint("merge"), cond).withColumn(name, F.col("__n0") + F.row_number().over(w) - 1)
     if size is not None:
         out = out.withColumn(total, F.col("__z0") + F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return out.drop("__b", "__n0", "__z0", *[f"__c{i}" for i in range(len(by))])

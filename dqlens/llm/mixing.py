@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, bounded, cut, n_words, numbered
 
 #: Words of a block, blocks of an output shard on average, rows or blocks that one task numbers.
-BLOCK, SHARD_BLOCKS, ROWS_PER_TASK = 256, 1024, 20_000
+BLOCK, SHARD_BLOCKS, ROWS_PER_TASK = 256, 1024, 1_000
 #: Weights of the sources in their order, repeating; no source is repeated more often than this.
 WEIGHTS, MOST_EPOCHS = (5, 2, 1), 3
 
@@ -98,7 +98,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     end = F.col("start") + F.col("size")
     parts = docs.where("size > 0").select("rank", "row", "start", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
     first = F.greatest(F.col("start"), F.col("block") * block)
-    got = parts.join(slots(sources, block, seed=seed).select("shard", "rank", "epoch", "block", "words"), ["rank", "block"])
+    got = parts.join(slots(sources, block, seed=seed).select("shard", "rank", "epoch", "block", "words").hint("merge"), ["rank", "block"])
     got = got.withColumn("n_words", F.least(F.col("end"), F.col("block") * block + F.col("words")) - first).where("n_words > 0")
     return docs, got.select("rank", "row", "shard", "epoch", "block", (first - F.col("start")).alias("from_word"), "n_words")
 

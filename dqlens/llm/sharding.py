@@ -11,7 +11,7 @@ from .common import cut, numbered
 #: at most, however large the corpus is, so the ordered sizes are one bounded array.
 GROUPS_BITS = 16
 #: Rows of a group that one task numbers.
-ROWS_PER_TASK = 20_000
+ROWS_PER_TASK = 1_000
 OVERHEAD = 8
 
 
