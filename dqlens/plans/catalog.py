@@ -458,3 +458,58 @@ def target_classes(s, d):
 def target_single_feature(s, d):
     t = read(s, d, "labels").join(read(s, d, "documents").select("doc_id", "lang"), "doc_id")
     return G.feature_auc(t, F.col("lang"), F.col("quality"), F.col("doc_id") % 2 == 0)
+
+
+@query()
+def schema_inference(s, d):
+    from ..engine import inspect_schema
+
+    rows = [(t, n, c["semantic_type"], c["dtype"], c["n_missing"], c["n_unique"]) for t in ("orders", "customer", "part") for n, c in inspect_schema(read(s, d, t)).items()]
+    return s.createDataFrame(rows, "table_name string, column_name string, semantic_type string, dtype string, n_missing long, n_unique long")
+
+
+@query()
+def inspect_findings(s, d):
+    from ..engine import inspect
+
+    return inspect(cu(s, d), reference_time="2026-10-01").frame(s)
+
+
+@query()
+def drift_findings(s, d):
+    from ..engine import compare
+
+    a, b = sides(s, d)
+    cols = ["o_totalprice", "label", "o_orderstatus", "part"]
+    return compare(a.select(*cols), b.select(*cols)).frame(s)
+
+
+@query()
+def change_points(s, d):
+    days = [(r.period, r.n) for r in T.volume(read(s, d, "events").where((F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")) | (F.col("event_id") % 3 == 0)), "ts", "day").orderBy("period").collect()]
+    found = T.change_points([float(n) for _, n in days[1:-1]])
+    return s.createDataFrame([(days[c["index"] + 1][0], c["before"], c["after"], c["statistic"], c["p_value"]) for c in found], "period timestamp_ntz, before double, after double, statistic double, p_value double")
+
+
+@query()
+def similar_labels(s, d):
+    from ..detectors.content import osa_distance
+
+    names = sorted({r[0].split()[-1].lower() for r in read(s, d, "part").select("p_type").distinct().collect()})
+    return s.createDataFrame([(a, b, osa_distance(a, b, 2)) for i, a in enumerate(names) for b in names[i + 1 :]], "a string, b string, distance int")
+
+
+@query()
+def isolation_forest(s, d):
+    from ..operators.forest import scored
+
+    return scored(read(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount"), ["l_quantity", "l_extendedprice", "l_discount"]).select("l_quantity", "l_extendedprice", "l_discount", F.round("score", 6).alias("score"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_missing, {f'round(avg({c}), 6)' if num else 'CAST(NULL AS DOUBLE)'} AS mean, {f'round(stddev_samp({c}), 6)' if num else 'CAST(NULL AS DOUBLE)'} AS std, {f'CAST(min({c}) AS DOUBLE)' if num else 'CAST(NULL AS DOUBLE)'} AS least, {f'CAST(max({c}) AS DOUBLE)' if num else 'CAST(NULL AS DOUBLE)'} AS largest FROM events" for c, num in (("event_id", True), ("event_type", False), ("value", True))))
+def streaming_profile(s, d):
+    from ..streaming import profile as P
+
+    e = read(s, d, "events").select("event_id", "event_type", "value")
+    parts = [P.state(e.where(F.col("event_id") % 3 == k)) for k in range(3)]
+    return P.profile(parts[0].unionByName(parts[1]).unionByName(parts[2])).drop("distinct_estimate")
