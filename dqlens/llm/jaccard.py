@@ -32,6 +32,8 @@ COUNTED = 0.35
 BOUND = np.uint64(int(COUNTED * 2**64))
 #: Entries that one task sorts; members of a cell up to which the pairs left are compared; rounds of pivots at most.
 ENTRIES, SMALL_CELL, ROUNDS = 1_500_000, 12, 6
+#: Links that one task joins.
+ONE_TASK = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,23 +184,53 @@ def cells(nodes: DataFrame, shared: DataFrame, parts: int, percent: int) -> Data
     return by.cogroup(shared.groupBy("part")).applyInPandas(choose, "s long, node long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each node of links (a, b) reaches; by alternating large and small stars."""
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """node, root: the smallest node that each node of links (a, b) reaches.
+
+    The links are counted first. Up to one_task of them meet in a single task, which joins them in its memory; beyond, large and small
+    stars are alternated until nothing changes. Both give the same rows.
+    """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+
+    def facts(df: DataFrame):
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head())
+
+    before = facts(edges)
+    if before[0] <= one_task:
+        return edges.coalesce(1).mapInPandas(_joined, "node long, root long")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = cut(new)
-        changed = new.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(new, ["a", "b"], "left_anti").limit(1).count()
+        new = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         discard(edges)
-        edges = new
-        if not changed:
-            roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        edges, after = new, facts(new)
+        if after == before:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before = after
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while up[top] != top:
+            top = up[top]
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(up), "root": [root(x) for x in list(up)]}, dtype="int64")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
