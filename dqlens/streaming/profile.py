@@ -35,7 +35,7 @@ def merged(states: DataFrame) -> DataFrame:
 def profile(states: DataFrame) -> DataFrame:
     """What a merged state says of each column."""
     m = merged(states)
-    return m.select("column_name", "n_rows", "n_missing", F.round("mean", 6).alias("mean"), F.round(F.sqrt(F.try_divide(F.col("m2"), F.col("n") - 1)), 6).alias("std"), "least", "largest", F.hll_sketch_estimate("sketch").alias("distinct_estimate"))
+    return m.select("column_name", "n_rows", "n_missing", F.round("mean", 6).alias("mean"), F.when(F.col("n") > 1, F.round(F.sqrt(F.try_divide(F.col("m2"), F.col("n") - 1)), 6)).alias("std"), "least", "largest", F.hll_sketch_estimate("sketch").alias("distinct_estimate"))
 
 
 def follow(stream: DataFrame, path: str, checkpoint: str, names: Sequence[str] | None = None):
