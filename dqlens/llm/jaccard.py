@@ -242,23 +242,22 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links_in(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) of nodes that keep all connections between the sets of each cell. found: s, node; None if there are no cells.
+    """Links (a, b) of nodes that keep all connections between the sets of each cell. found: s, node, two or more of each s; None if there are none.
 
     Each round draws a pivot for every cell: the member with the lowest hash, so that cells with the same members agree on it.
     """
     sizes = sets.select("node", "n")
     reach = 1 - percent / 100
-    active = cut(found.join(found.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("s"), "s").withColumn("far", F.array().cast("array<double>")))
+    active = found.withColumn("far", F.array().cast("array<double>"))
     links = None
     for k in range(ROUNDS):
         if active.limit(1).count() == 0:
             break
         pivots = active.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node")))["node"].alias("p"))
         drawn = active.join(pivots, "s").where("node <> p")
-        pairs = cut(drawn.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct())
-        got = cut(compared(pairs, sets))
+        got = cut(compared(drawn.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct(), sets))
         new = got.where(f"100 * inter >= {percent} * total").select("a", "b")
-        links = cut(new if links is None else links.unionByName(new).distinct())
+        links = new if links is None else links.unionByName(new)
         roots = components(links)
         d = got.select("a", "b", (1 - F.col("inter") / F.col("total")).alias("d"))
         rest = drawn.withColumn("a", F.greatest("node", "p")).withColumn("b", F.least("node", "p")).join(d, ["a", "b"])
@@ -271,11 +270,11 @@ def links_in(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
         y = x.select("s", F.col("a").alias("b"), F.col("ra").alias("rb"), F.col("na").alias("nb"), F.col("fa").alias("fb"))
         near = F.forall(F.zip_with("fa", "fb", lambda u, v: F.abs(u - v)), lambda v: v <= reach + 1e-9)
         fit = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & near
-        pairs = cut(x.join(y, "s").where(fit).select("a", "b").distinct())
-        more = compared(pairs, sets).where(f"100 * inter >= {percent} * total").select("a", "b")
-        links = cut(links.unionByName(more).distinct())
-        old, active = active, cut(rest.where(f"m > {SMALL_CELL}").select("s", "node", "far")) if not last else active.limit(0)
-        discard(old, got, rest)
+        more = cut(compared(x.join(y, "s").where(fit).select("a", "b").distinct(), sets).where(f"100 * inter >= {percent} * total").select("a", "b"))
+        links = links.unionByName(more)
+        if last:
+            break
+        active = rest.where(f"m > {SMALL_CELL}").select("s", "node", "far")
     return links
 
 
@@ -291,7 +290,8 @@ def jaccard(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * COUNTED / ENTRIES) + 1)
     nodes = cut(info.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("more").alias("more")))
     found = cut(cells(nodes.select("node", "n", "counted", "more"), shared_shingles(df, text, k, parts), parts, percent))
-    wanted = cut(found.join(found.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("s"), "s").select("node").distinct().join(nodes.select("node", "id", "n"), "node"))
+    found = cut(found.join(found.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("s"), "s"))
+    wanted = cut(found.select("node").distinct().join(nodes.select("node", "id", "n"), "node"))
     keep = id_filter(wanted, "id")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
