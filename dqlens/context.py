@@ -409,6 +409,25 @@ class Context:
         h = F.xxhash64(*self.df.columns, F.lit(self.config.performance.random_state))
         return self.keep(self.df.where(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * min(1.0, share)) + 1).limit(most))
 
+    @cached_property
+    def frame(self):
+        """The sample on the driver, one job: numbers as floats, labels and ids as they are; no texts, dates or nested values.
+
+        Its size is bounded by the settings: sample_rows rows of twice max_pairwise_columns columns, and the target.
+        """
+        most = self.config.performance.max_pairwise_columns
+        nums = [n for n in self.numeric_like() if self.schema[n].n_unique > 1][:most]
+        rest = [n for n in self.of_type("categorical", "boolean", "identifier", "constant") if n not in nums][:most]
+        target = self.config.target
+        if target in self.schema and target not in nums + rest:
+            rest.append(target)
+        cols = [self.value(n).alias(self.col[n]) for n in nums] + [F.substring(C.present(self.df, self.col[n]).cast("string"), 1, 100).alias(self.col[n]) for n in rest]
+        out = self.sample.select(*cols).toPandas() if cols else self.sample.select(F.lit(1).alias("one")).toPandas()
+        out = out.rename(columns={self.col[n]: n for n in nums + rest})
+        for n in nums:
+            out[n] = out[n].astype(float)
+        return out
+
     @property
     def sampled(self) -> bool:
         return self.n > self.config.performance.sample_rows

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..context import Context
 from ..findings import Finding
-from ..functions import columns as C
 from ..operators import aggregates as A
-from ..operators import target as G
+from ..functions import small as S
 from . import detector, finding, pct
 
 
@@ -27,38 +26,34 @@ def correlation(x: Context) -> list[Finding]:
     t, out = x.t, []
     f = lambda *a, **k: out.append(finding("correlation", *a, **k))
     nums, cats = selected(x)
-    s = x.sample
+    frame = x.frame
     strong: dict[tuple[str, str], tuple[float, float]] = {}
+    for a, b in combinations(nums, 2):
+        r, rho = S.pearson(frame[a], frame[b]), S.spearman(frame[a], frame[b])
+        strong[a, b] = (r or 0.0, rho or 0.0)
+        v = max(abs(r or 0.0), abs(rho or 0.0))
+        if t.correlation_warning <= v and abs(r or 0.0) < 0.9999:
+            f("correlation.numeric", "relationships", "warning" if v >= t.correlation_high else "info", "Correlated columns", f"{a} and {b} are correlated (r {r or 0:.3f}, rank {rho or 0:.3f}).", [a, b], evidence={"pearson": r, "spearman": rho}, rule=f"|r| >= {t.correlation_warning}")
     if len(nums) >= 2:
-        d = x.keep(s.select(*[x.value(n).alias(x.col[n]) for n in nums]))
-        back = {x.col[n]: n for n in nums}
-        p = {(r.a, r.b): r.r for r in A.pearson_matrix(d, d.columns).collect()}
-        q = {(r.a, r.b): r.r for r in A.spearman_matrix(d, d.columns).collect()}
-        x.sections["correlation"] = {"columns": nums, "pearson": {f"{back[a]}|{back[b]}": r for (a, b), r in p.items()}, "spearman": {f"{back[a]}|{back[b]}": r for (a, b), r in q.items()}, "sampled": x.sampled}
-        for (a, b), r in p.items():
-            rho = q.get((a, b)) or 0.0
-            strong[back[a], back[b]] = (r or 0.0, rho)
-            v = max(abs(r or 0.0), abs(rho))
-            if t.correlation_warning <= v and abs(r or 0.0) < 0.9999:
-                f("correlation.numeric", "relationships", "warning" if v >= t.correlation_high else "info", "Correlated columns", f"{back[a]} and {back[b]} are correlated (r {r or 0:.3f}, rank {rho:.3f}).", [back[a], back[b]], evidence={"pearson": r, "spearman": rho}, rule=f"|r| >= {t.correlation_warning}")
+        x.sections["correlation"] = {"columns": nums, "pearson": {f"{a}|{b}": round(r, 4) for (a, b), (r, _) in strong.items()}, "spearman": {f"{a}|{b}": round(r, 4) for (a, b), (_, r) in strong.items()}, "sampled_rows": len(frame)}
     for a, b in combinations(cats, 2):
-        v = A.cramers_v(s, x.col[a], x.col[b]).head().cramers_v or 0.0
+        v = S.cramers_v(frame[a], frame[b])
         if v >= t.cramers_v_warning:
             f("correlation.categorical", "relationships", "info", "Associated labels", f"{a} and {b} are associated (V {v:.3f}).", [a, b], evidence={"cramers_v": v})
     for a in cats:
         for b in nums:
             if x.schema[b].semantic_type != "numeric":
                 continue
-            v = A.correlation_ratio(s.withColumn("__v", x.value(b)), x.col[a], "__v").head().eta or 0.0
+            v = S.correlation_ratio(frame[a], frame[b])
             if v >= t.correlation_high:
                 f("correlation.mixed", "relationships", "info", "Labels fix a number", f"{a} nearly determines {b} (eta {v:.3f}).", [a, b], evidence={"eta": v})
     deep = [n for n in nums[:30] if x.schema[n].semantic_type == "numeric"]
-    few = s.limit(50_000) if len(deep) >= 2 else s
+    few = frame.head(50_000)
     for a, b in combinations(deep, 2):
-        if abs(strong.get((a, b), (0, 0))[1]) < 0.5 and abs(strong.get((a, b), (0, 0))[0]) < 0.9:
-            v = A.mutual_information(few.select(x.value(a).alias("a"), x.value(b).alias("b")), "a", "b").head().nmi or 0.0
+        if abs(strong[a, b][1]) < 0.5:
+            v = S.mutual_information(few[a], few[b])
             if v >= 0.5:
-                f("correlation.nonlinear", "relationships", "info", "Non-linear relation", f"{a} and {b} depend on each other without being correlated.", [a, b], evidence={"nmi": v, "spearman": strong.get((a, b), (0, 0))[1]})
+                f("correlation.nonlinear", "relationships", "info", "Non-linear relation", f"{a} and {b} depend on each other without being correlated.", [a, b], evidence={"nmi": v, "spearman": strong[a, b][1]})
     return out
 
 
@@ -77,8 +72,8 @@ def redundancy(x: Context) -> list[Finding]:
     if nums and x.n >= 20:
         import numpy as np
 
-        screen = x.df.select(*[x.value(n).alias(x.col[n]) for n in nums]).limit(5_000).toPandas().astype(float)
-        v = {n: screen[x.col[n]].to_numpy() for n in nums}
+        screen = x.frame.head(5_000)
+        v = {n: screen[n].to_numpy() for n in nums}
         for a, b in combinations(nums, 2):
             ok = np.isfinite(v[a]) & np.isfinite(v[b])
             if ok.sum() < 20:
@@ -89,7 +84,7 @@ def redundancy(x: Context) -> list[Finding]:
                 continue
             if u.std() == 0 or w.std() == 0:
                 continue
-            ranks = np.corrcoef(u.argsort().argsort(), w.argsort().argsort())[0, 1]
+            ranks = S.spearman(screen[a], screen[b]) or 0.0
             if abs(ranks) >= 0.95:
                 slope, base = _line(u, w)
                 if (np.abs(w - slope * u - base) <= 1e-6 * np.maximum(np.abs(w), 1e-9) + 1e-9).mean() >= 0.9:
@@ -176,26 +171,26 @@ def target(x: Context) -> list[Finding]:
             f("target.tiny_classes", "target", "warning", "Tiny classes", f"{len(tiny)} classes of {n} have fewer than ten rows.", [n], evidence={"classes": [x.shown(v) for v in tiny[:10]]})
     scores: dict[str, float] = {}
     flags: dict[str, float] = {}
-    y = F.col(x.col[n]).cast("string")
-    work = x.sample.withColumn("__half", F.pmod(F.xxhash64(*x.sample.columns, F.lit(x.config.performance.random_state)), F.lit(2)) == 0)
-    classes = [v for v, _ in labels[:10]] if task == "classification" else []
-    goals = [y == F.lit(classes[0])] if len(classes) == 2 else [y == F.lit(v) for v in classes]
+    frame = x.frame[x.frame[n].notna()]
+    half = S.halves(len(frame), x.config.performance.random_state)
+    text = frame[n].astype(str) if frame[n].dtype != float else frame[n].map(lambda v: f"{v:g}")
+    classes = text.value_counts().index[:10].tolist() if task == "classification" else []
+    goals = [(text == c).to_numpy(float) for c in (classes[:1] if len(classes) == 2 else classes)]
     for m in x.names:
         k = x.schema[m]
-        if m == n or k.semantic_type in ("unknown", "constant", "text", "datetime"):
+        if m == n or m not in frame or k.semantic_type in ("unknown", "constant", "text", "datetime"):
             continue
-        level = _level(x, work, m)
+        level = S.levels(frame[m])
         if task == "classification":
-            got = [G.feature_auc(work, level, g & y.isNotNull(), F.col("__half")).head().auc for g in goals]
-            got = [max(a, 1 - a) for a in got if a is not None]
+            got = [max(a, 1 - a) for g in goals if (a := S.holdout_auc(level, g, half)) is not None]
             if got:
                 scores[m] = sum(got) / len(got)
             if k.n_missing >= 20 and k.n_present >= 20 and goals:
-                a = G.missing_auc(work, x.col[m], goals[0], F.col("__half")).head().auc
+                a = S.holdout_auc(frame[m].isna().to_numpy(int), goals[0], half)
                 if a is not None:
                     flags[m] = max(a, 1 - a)
         else:
-            scores[m] = _r2(work, level, x.value(n), F.col("__half"))
+            scores[m] = S.holdout_r2(level, frame[n].to_numpy(float), half)
     x.sections["target"]["scores"] = dict(sorted(scores.items(), key=lambda i: (-i[1], i[0]))[:30])
     for m, v in scores.items():
         if v >= t.target_association_warning:
@@ -206,28 +201,3 @@ def target(x: Context) -> list[Finding]:
         if v >= 0.75:
             f("target.missingness_predictive", "target", "warning", "Missing values predict the target", f"Whether {m} is missing predicts {n} (score {v:.3f}).", [m, n], evidence={"score": v})
     return out
-
-
-def _level(x: Context, work: DataFrame, m: str) -> Column:
-    """The levels of a feature: its labels, or twenty bins of a number."""
-    if x.schema[m].semantic_type in ("numeric", "identifier") and x.stored(m) != "string" and x.schema[m].n_unique > 20:
-        return _bins(x, work, m)
-    return C.present(work, x.col[m]).cast("string")
-
-
-def _bins(x: Context, work: DataFrame, m: str) -> Column:
-    v = x.value(m)
-    edges = work.agg(F.percentile_approx(v, [i / 20 for i in range(1, 20)], 10_000)).head()[0] or []
-    out = F.lit(0)
-    for e in sorted(set(edges)):
-        out = out + F.when(v > e, 1).otherwise(0)
-    return F.when(v.isNotNull(), out)
-
-
-def _r2(work: DataFrame, level: Column, y: Column, half: Column) -> float:
-    d = work.select(F.coalesce(level.cast("string"), F.lit("<missing>")).alias("l"), y.alias("y"), half.alias("h")).where("y IS NOT NULL")
-    g = d.groupBy("l").agg(F.avg(F.when(F.col("h"), F.col("y"))).alias("m"), F.count(F.when(~F.col("h"), 1)).alias("n"), F.sum(F.when(~F.col("h"), F.col("y"))).alias("s"), F.sum(F.when(~F.col("h"), F.col("y") * F.col("y"))).alias("q"))
-    prior = d.agg(F.avg(F.when(F.col("h"), F.col("y"))).alias("p"))
-    r = g.join(F.broadcast(prior)).withColumn("e", F.coalesce("m", "p")).agg(F.sum(F.col("q") - 2 * F.col("e") * F.col("s") + F.col("n") * F.col("e") * F.col("e")).alias("sse"), F.sum("q").alias("q"), F.sum("s").alias("s"), F.sum("n").alias("n")).head()
-    total = (r.q or 0.0) - (r.s or 0.0) ** 2 / r.n if r.n else 0.0
-    return max(0.0, 1 - r.sse / total) if total > 0 else 0.0

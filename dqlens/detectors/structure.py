@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..context import Context
 from ..findings import Finding
 from ..functions import columns as C
+from ..functions import small as S
 from ..operators import aggregates as A
 from ..operators import rules as R
 from ..operators import temporal as TM
@@ -98,23 +100,17 @@ def missingness(x: Context) -> list[Finding]:
         if found and abs(found[1]["shift"]) >= t.temporal_shift_gap:
             at, c = found
             f("missing.over_time", "missingness", "warning", "Missing values change over time", f"The missing share of {n} goes from {pct(c['before'])} to {pct(c['after'])} at {x.bins[at]['period']:%Y-%m-%d}.", [n, x.time_column], evidence={"period": x.bins[at]["period"], "before": c["before"], "after": c["after"], "statistic": c["statistic"]}, confidence=TM.change_confidence(c, len(x.bins)), rule=f"shift >= {t.temporal_shift_gap}")
-    # related to a number: gap of the distributions where the value is there and where it isn't, all from one sample
-    from ..operators.drift import ks_wasserstein
-
-    nums = [n for n in x.of_type("numeric")][:10]
-    for n in gaps[:10]:
-        flag = C.is_missing(x.df, x.col[n])
-        top = None
+    # related to a number: the gap of its distributions where the value is there and where it isn't, on the sample
+    nums = x.of_type("numeric")[:20]
+    for n in gaps:
+        if n not in x.frame:
+            continue
+        gone, top = x.frame[n].isna().to_numpy(), None
         for m in nums:
-            if m == n:
-                continue
-            d = x.sample.select(x.value(m).alias("v"), flag.alias("g")).where("v IS NOT NULL")
-            sizes = {r.g: r.c for r in d.groupBy("g").agg(F.count(F.lit(1)).alias("c")).collect()}
-            if min(sizes.get(True, 0), sizes.get(False, 0)) < 30:
-                continue
-            ks = ks_wasserstein(d.where("NOT g"), d.where("g"), "v").head().ks
-            if top is None or ks > top[0]:
-                top = (ks, m)
+            v = x.frame[m].to_numpy()
+            a, b = v[gone & ~np.isnan(v)], v[~gone & ~np.isnan(v)]
+            if m != n and min(len(a), len(b)) >= 30 and (top is None or S.ks(a, b) > top[0]):
+                top = (S.ks(a, b), m)
         if top and top[0] >= 0.30:
             f("missing.related_numeric", "missingness", "info", "Missing values go with a number", f"Where {n} is missing, {top[1]} is distributed differently (KS {top[0]:.2f}).", [n, top[1]], evidence={"ks": top[0]}, confidence=0.6)
     # together
