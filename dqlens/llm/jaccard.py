@@ -5,11 +5,11 @@ pivots alone can't tell texts apart. Regions are therefore made in two steps.
 
 1. Cells. Shingles are ordered by the number of sets that have them, rarest first. Two sets of similarity s
    or more share one of the first |x| - ceil(s |x|) + 1 shingles of each, so every link lies inside
-   the cell of a shared one. A set whose first shingles are all its own has no link and no cell.
+   the cell of a shared one. A set whose first shingles are all its own has no link and no cell. This is done with a part of the hash
+   range first, over all sets, and with all shingles of the sets that it leaves.
 2. Pivots. In each cell a pivot is drawn and its distances to the others are computed; sets within reach
-   of it are linked to it. Two sets whose distances to a pivot differ by more than 1 - s can't
-   be linked (triangle inequality), and two that are connected already needn't be compared. Cells in which such pairs are left go on
-   to the next pivot; small ones, at last, compare the pairs that are left.
+   of it are linked to it. Pairs are left out that can't be near each other by what they share with the pivot (the triangle inequality,
+   sharpened), or that are connected already. The few others are compared; cells with too many go on to further pivots.
 
 Exact copies of a set are one point throughout.
 """
@@ -30,8 +30,8 @@ WORDS, SIMILARITY = 5, 80
 #: Share of the hash range whose shingles are counted; a set's first shingles are nearly always among them, else the next ones are taken as well.
 COUNTED = 0.35
 BOUND = np.uint64(int(COUNTED * 2**64))
-#: Entries that one task sorts; members of a cell up to which the pairs left are compared; rounds of pivots at most.
-ENTRIES, SMALL_CELL, ROUNDS = 1_500_000, 12, 6
+#: Entries that one task sorts; pairs of a cell that are looked at (not compared) together; rounds of pivots at most, and pivots of a cell in one.
+ENTRIES, CELL_WORK, ROUNDS, PIVOTS = 1_500_000, 4_000_000, 10, 8
 #: Links that one task joins.
 ONE_TASK = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -101,10 +101,10 @@ def _unblob(blobs, kinds: list) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(out, kinds, strict=True)]
 
 
-def shared_shingles(df: DataFrame, text: str, k: int, parts: int) -> DataFrame:
-    """part (of the node), blob (nodes, shingles, counts): the counted shingles that two sets or more have, with how many have them.
+def shared_shingles(df: DataFrame, text: str, k: int, parts: int, bound: np.uint64 | None = BOUND, keep=None) -> DataFrame:
+    """part (of the node), blob (nodes, shingles, counts): the shingles under bound (None: all) that two sets or more have, with how many have them.
 
-    Entries travel as blobs, one for each part and task, and are sorted in numpy; single ones, most of all, end there.
+    keep: which nodes to read, as a function on an array; a few others may come along. Entries travel as blobs, one for each part and task, and are sorted in numpy; single ones, most of all, end there.
     """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,13 +113,11 @@ def shared_shingles(df: DataFrame, text: str, k: int, parts: int) -> DataFrame:
         def flush():
             s, node = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             held.clear()
-            # copies of a set within the batch go here already
-            pair = np.unique(np.rec.fromarrays([s, node], names="s,node")) if copies else np.rec.fromarrays([s, node], names="s,node")
-            return _blobs((pair.s % np.uint64(parts)).astype(np.int64), [pair.s, pair.node])
+            return _blobs((s % np.uint64(parts)).astype(np.int64), [s, node])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        seen: set[int] = set()
-        size, copies = 0, False
+        seen: set[int] = set()  # copies of a set go here already, as far as memory allows
+        size = 0
         for pdf in batches:
             for t in pdf["text"]:
                 s = shingles(t, k)
@@ -130,7 +128,9 @@ def shared_shingles(df: DataFrame, text: str, k: int, parts: int) -> DataFrame:
                     continue
                 if len(seen) < 500_000:
                     seen.add(node)
-                c = s[: np.searchsorted(s, BOUND)]
+                if keep is not None and not keep(np.array([node]))[0]:
+                    continue
+                c = s if bound is None else s[: np.searchsorted(s, bound)]
                 held.append((c, np.full(len(c), node, np.int64)))
                 size += len(c)
                 if size >= ENTRIES:
@@ -160,7 +160,7 @@ def shared_shingles(df: DataFrame, text: str, k: int, parts: int) -> DataFrame:
 
 
 def cells(nodes: DataFrame, shared: DataFrame, parts: int, percent: int) -> DataFrame:
-    """s, node: the shingles among the first of a set that other sets have. nodes: node, n, counted, more."""
+    """s, node, have: the shingles among the first of a set that other sets have, and how many of its counted ones others have. nodes: node, n, counted, more."""
 
     def choose(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         node, s, many = _unblob(right["blob"], [np.int64, np.int64, np.int64])
@@ -170,18 +170,21 @@ def cells(nodes: DataFrame, shared: DataFrame, parts: int, percent: int) -> Data
         order = np.lexsort((s, many, node))
         s, node = s[order], node[order]
         at = np.searchsorted(ids, node)
+        known = at < len(ids)
+        known[known] = ids[at[known]] == node[known]
+        s, node, at = s[known], node[known], at[known]
         have = np.bincount(at, minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
         left_over = want - (counted - have)  # what the shingles of its own leave
         rank = np.arange(len(node)) - (np.cumsum(have) - have)[at]
         take = rank < left_over[at]
-        out = [pd.DataFrame({"s": s[take], "node": node[take]})]
-        extra = [(x, i) for i, more in zip(ids.tolist(), left["more"], strict=True) if more is not None for x in more]
+        out = [pd.DataFrame({"s": s[take], "node": node[take], "have": have[at[take]]})]
+        extra = [(x, i, h) for i, h, more in zip(ids.tolist(), have.tolist(), left["more"], strict=True) if more is not None for x in more]
         if extra:
-            out.append(pd.DataFrame(extra, columns=["s", "node"]))
+            out.append(pd.DataFrame(extra, columns=["s", "node", "have"]))
         return pd.concat(out, ignore_index=True)
 
     by = nodes.withColumn("part", F.pmod("node", F.lit(parts))).groupBy("part")
-    return by.cogroup(shared.groupBy("part")).applyInPandas(choose, "s long, node long")
+    return by.cogroup(shared.groupBy("part")).applyInPandas(choose, "s long, node long, have long")
 
 
 def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
@@ -242,42 +245,64 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links_in(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) of nodes that keep all connections between the sets of each cell. found: s, node, two or more of each s; None if there are none.
+    """Links (a, b) of nodes that keep all connections between the sets of each cell. found: s, node, have (of all shingles), two rows or more of each s; None if there are none.
 
-    Each round draws a pivot for every cell: the member with the lowest hash, so that cells with the same members agree on it.
+    The first pivot of a cell is the member that offers most shingles: the one with the fewest of its own, as the text that others are
+    edited from. Of each member the cell then knows what it shares with the pivot, and how many of its other shingles anyone has. Two members share at most
+    the lesser of the first and the lesser of the second; that is the triangle inequality's window, made
+    tighter by what lies outside the pivot. Pairs that pass, of members that aren't connected yet, are compared.
+    A cell in which those would be too many draws further pivots among the members outside its main component, and goes on without them.
     """
     sizes = sets.select("node", "n")
-    reach = 1 - percent / 100
-    active = found.withColumn("far", F.array().cast("array<double>"))
+    degree = found.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+    none = F.lit(None).cast("long")
+    active = cut(found.join(degree, "node").join(sizes, "node").select("s", "node", "n", "have", "deg", none.alias("o"), F.lit(True).alias("minor")))
     links = None
     for k in range(ROUNDS):
         if active.limit(1).count() == 0:
             break
-        pivots = active.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node")))["node"].alias("p"))
+        if k == 0:
+            pivots = active.groupBy("s").agg(F.max(F.struct("deg", F.xxhash64("node").alias("h"), "node"))["node"].alias("p"))
+        else:
+            order = F.struct(F.xxhash64("node", "s", F.lit(k)).alias("h"), "node")
+            pivots = active.where("minor").groupBy("s", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("b")).agg(F.min(order)["node"].alias("p")).select("s", "p")
         drawn = active.join(pivots, "s").where("node <> p")
         got = cut(compared(drawn.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct(), sets))
         new = got.where(f"100 * inter >= {percent} * total").select("a", "b")
         links = new if links is None else links.unionByName(new)
         roots = components(links)
-        d = got.select("a", "b", (1 - F.col("inter") / F.col("total")).alias("d"))
-        rest = drawn.withColumn("a", F.greatest("node", "p")).withColumn("b", F.least("node", "p")).join(d, ["a", "b"])
-        rest = rest.select("s", "node", F.concat("far", F.array("d")).alias("far")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        alive = rest.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-        rest = cut(rest.join(alive.select("s", "m"), "s"))
-        last = k == ROUNDS - 1
-        pick = rest if last else rest.where(f"m <= {SMALL_CELL}")
-        x = pick.join(sizes, "node").select("s", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("far").alias("fa"))
-        y = x.select("s", F.col("a").alias("b"), F.col("ra").alias("rb"), F.col("na").alias("nb"), F.col("fa").alias("fb"))
-        near = F.forall(F.zip_with("fa", "fb", lambda u, v: F.abs(u - v)), lambda v: v <= reach + 1e-9)
-        fit = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & near
-        more = cut(compared(x.join(y, "s").where(fit).select("a", "b").distinct(), sets).where(f"100 * inter >= {percent} * total").select("a", "b"))
+        # pivots are done with; the others know what they share with the first one, and their component so far
+        rest = active.join(pivots.select("s", F.col("p").alias("node")), ["s", "node"], "left_anti")
+        if k == 0:
+            shared = drawn.select("s", "node", F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).join(got, ["a", "b"]).select("s", "node", F.col("inter").alias("o"))
+            rest = rest.drop("o").join(shared, ["s", "node"])
+        rest = rest.drop("minor").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sums = rest.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c"))
+        cells = sums.groupBy("s").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        cells = cells.select("s", F.col("main.root").alias("main"), ((F.col("m") - F.col("main.c")) * F.col("m")).alias("work"))
+        rest = cut(rest.join(cells, "s").withColumn("minor", F.col("root") != F.col("main")))
+        now = rest if k == ROUNDS - 1 else rest.where(f"work <= {CELL_WORK}")
+        x = now.where("minor").select("s", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("o").alias("oa"), (F.col("have") - F.col("o")).alias("ea"))
+        y = now.select("s", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("o").alias("ob"), (F.col("have") - F.col("o")).alias("eb"), F.col("minor").alias("mb"))
+        most = F.least("oa", "ob") + F.least("ea", "eb")
+        fit = (F.col("ra") != F.col("rb")) & (~F.col("mb") | (F.col("a") > F.col("b"))) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
+        pairs = x.join(y, "s").where(fit).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        more = cut(compared(pairs, sets).where(f"100 * inter >= {percent} * total").select("a", "b"))
         links = links.unionByName(more)
-        if last:
+        active = rest.where(f"work > {CELL_WORK}").select("s", "node", "n", "have", "deg", "o", "minor")
+        if k == ROUNDS - 1:
             break
-        active = rest.where(f"m > {SMALL_CELL}").select("s", "node", "far")
     return links
 
 
+def _live(rows: DataFrame) -> DataFrame:
+    """The rows of cells with two members or more."""
+    rows = cut(rows)
+    out = cut(rows.join(rows.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("s"), "s"))
+    discard(rows)
+    return out
+
+
 def jaccard(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id that links reach, its own included).
 
@@ -289,8 +314,15 @@ def jaccard(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * COUNTED / ENTRIES) + 1)
     nodes = cut(info.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("more").alias("more")))
-    found = cut(cells(nodes.select("node", "n", "counted", "more"), shared_shingles(df, text, k, parts), parts, percent))
-    found = cut(found.join(found.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("s"), "s"))
+    first = _live(cells(nodes.select("node", "n", "counted", "more"), shared_shingles(df, text, k, parts), parts, percent))
+    # The sets that are left are ordered once more, by all their shingles and counted among themselves: a passage
+    # that many texts share then comes last, and most sets that have little else in common leave their cells.
+    some = cut(first.select("node").distinct().join(nodes.select("node", "n"), "node"))
+    left = some.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(left / ENTRIES) + 1)
+    again = shared_shingles(df, text, k, parts, None, id_filter(some, "node"))
+    found = _live(cells(some.select("node", "n", F.col("n").alias("counted"), F.lit(None).cast("array<bigint>").alias("more")), again, parts, percent))
+    discard(first)
     wanted = cut(found.select("node").distinct().join(nodes.select("node", "id", "n"), "node"))
     keep = id_filter(wanted, "id")
 

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut
 from .tokens import WordIds
 
-#: Tokens of a sequence, rows of a bucket that are packed together, rounds of exchanges at most.
-CAPACITY, ROWS_PER_BUCKET, ROUNDS = 4096, 50_000, 12
+#: Tokens of a sequence, rows of a bucket that are packed together, rounds of exchanges at most, bins whose room a bucket with a gap gives up.
+CAPACITY, ROWS_PER_BUCKET, ROUNDS, SLACK = 4096, 50_000, 12, 4
 END = (1).to_bytes(4, "little")
 
 
@@ -58,9 +57,14 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     The first rounds lengths over capacity - k up to a whole bin and those under k down to nothing; the second
     takes floor((j + 1) * x) / j of each share x of a bin (and x itself, where that is whole).
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    return bound_of(dict(enumerate(np.bincount(lengths).tolist())) if len(lengths) else {}, capacity)
+
+
+def bound_of(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """lower_bound() of as many lengths as counts says."""
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        count[length] = n
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * size).sum()) // capacity)
     n, z = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * size)])
@@ -98,53 +102,61 @@ def tokenized(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
     return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, copy long, piece int, start long, length long, ids_crc32 long")
 
 
-def _pack(capacity: int):
+def _pack(capacity: int, slack: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = pdf["length"].to_numpy()
         bins, offsets, fill = best_fit(lengths, capacity)
-        pdf["bin"], pdf["offset"] = bins, offsets
-        pdf["fill"] = fill[bins] if len(bins) else 0
-        pdf["gap"] = len(fill) - lower_bound(lengths, capacity)
+        # certified: no packing of these rows alone has fewer bins; the room that is left may still serve rows of others
+        gap = len(fill) - lower_bound(lengths, capacity)
+        order = np.argsort(fill, kind="stable")
+        room = np.cumsum(capacity - fill[order])
+        given = order[: int(np.searchsorted(room, (slack if gap else 1) * capacity)) + 1]
+        pdf["bin"], pdf["offset"], pdf["open"] = bins, offsets, np.isin(bins, given[fill[given] < capacity])
         return pdf
 
     return run
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = ROWS_PER_BUCKET, rounds: int = ROUNDS) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = ROWS_PER_BUCKET, rounds: int = ROUNDS, slack: int = SLACK) -> DataFrame:
     """pieces (length and other columns) with sequence_id and offset.
 
     Full pieces are sequences of their own. The others are dealt to buckets of about per_bucket rows by hash and packed
-    there; a bucket whose number of bins equals its lower bound is certified and done. Buckets with a gap keep
-    their full bins and exchange the rows of the others: these meet in fewer buckets and are packed again. That ends when all is
-    certified, when one bucket is left, or when a round saves no bin. Every round writes narrow rows to the shared folder.
+    there. A bucket keeps its full bins and gives up its emptiest: those with room for slack bins if its lower bound leaves a gap, for one bin if it is
+    certified. The rows of those meet in fewer buckets, in another mixture, and are packed again. That
+    ends when the lower bound of all rows is met, when one bucket is left, or when a round saves no bin (the packing before it stays then). Every
+    round writes narrow rows to the shared folder, and only given-up rows go on.
     """
     cols = pieces.columns
     keyed = pieces.withColumn("__key", F.xxhash64(*cols))
-    done = [keyed.where(F.col("length") >= capacity).select(*cols, F.lit(0).cast("long").alias("offset"), F.struct(F.lit(-1).alias("round"), F.col("__key").alias("bucket"), F.monotonically_increasing_id().alias("bin")).alias("__seq"))]
-    open_, old = keyed.where(F.col("length") < capacity), None
-    n, last = open_.count(), None
-    for k in range(rounds):
-        if not n:
+    full = F.struct(F.lit(-1).alias("round"), F.lit(0).cast("long").alias("bucket"), F.monotonically_increasing_id().alias("bin")).alias("__seq")
+    done = [keyed.where(F.col("length") >= capacity).select(*cols, F.lit(0).cast("long").alias("offset"), full)]
+    rest, given, bins = keyed.where(F.col("length") < capacity), None, 0
+    counts = rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # fewer than capacity rows
+    n, least = sum(r.n for r in counts), bound_of({r.length: r.n for r in counts}, capacity)
+    kept = 0
+    for k in range(rounds if n else 0):
+        buckets = -(-n // per_bucket)
+        dealt = rest.withColumn("__bucket", F.pmod(F.xxhash64("__key", F.lit(k)), F.lit(buckets)).cast("long"))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", bin long, offset long, open boolean"
+        got = cut(dealt.groupBy("__bucket").applyInPandas(_pack(capacity, slack), schema))
+        per = got.groupBy("__bucket").agg((F.max("bin") + 1).alias("bins"), F.count_distinct(F.when(F.col("open"), F.col("bin"))).alias("given"), F.count(F.when(F.col("open"), 1)).alias("rows"))
+        now = per.agg(F.sum("bins").alias("bins"), F.sum("given").alias("given"), F.sum("rows").alias("rows")).head()
+        if given is not None and now.bins >= bins:
+            done.append(given)
             break
-        buckets = max(1, -(-n // per_bucket))
-        dealt = open_.withColumn("__bucket", F.pmod(F.xxhash64("__key", F.lit(k)), F.lit(buckets)))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", bin long, offset long, fill long, gap long"
-        got = cut(dealt.groupBy("__bucket").applyInPandas(_pack(capacity), schema))
-        gap, n_open, bins = got.agg(F.coalesce(F.max("gap"), F.lit(0)), F.count(F.when((F.col("gap") > 0) & (F.col("fill") < capacity), 1)), F.count_distinct(F.when((F.col("gap") > 0) & (F.col("fill") < capacity), F.struct("__bucket", "bin")))).head()
-        final = not gap or buckets == 1 or k == rounds - 1 or (last is not None and bins >= last)
         seq = F.struct(F.lit(k).alias("round"), F.col("__bucket").alias("bucket"), F.col("bin").alias("bin")).alias("__seq")
-        stays = got if final else got.where((F.col("gap") == 0) | (F.col("fill") == capacity))
-        done.append(stays.select(*cols, "offset", seq))
-        if final:
+        if not now.rows or buckets == 1 or k == rounds - 1 or kept + now.bins <= least:
+            done.append(got.select(*cols, "offset", seq))
             break
-        # rows are fewer and fewer, so they meet in fewer buckets
-        open_, n, last = got.where((F.col("gap") > 0) & (F.col("fill") < capacity)).select(*cols, "__key"), n_open, bins
+        done.append(got.where("NOT open").select(*cols, "offset", seq))
+        given, bins, n, kept = got.where("open").select(*cols, "offset", seq), now.given, now.rows, kept + now.bins - now.given
+        rest = got.where("open").select(*cols, "__key")
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     # a number that keeps rounds, buckets and bins apart
     s = F.col("__seq")
-    number = F.when(s["round"] < 0, -1 - s["bin"]).otherwise(s["round"] * F.lit(1 << 56) + F.pmod(s["bucket"], F.lit(1 << 32)) * F.lit(1 << 24) + s["bin"])
+    number = F.when(s["round"] < 0, -1 - s["bin"]).otherwise(s["round"] * F.lit(1 << 56) + s["bucket"] * F.lit(1 << 24) + s["bin"])
     return out.withColumn("sequence_id", number.cast("long")).drop("__seq")
 
 
@@ -156,8 +168,3 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str =
     pieces = cut(tokenized(df, path, id_col, text, capacity))
     out = packed(pieces, capacity)
     return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-
-
-def placed(df: DataFrame, bound: Column | None = None) -> DataFrame:
-    """Sequences of a packing: sequence_id, pieces, length."""
-    return df.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("length").alias("length"))
