@@ -17,7 +17,15 @@ SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 BROADCAST_ROWS = 100_000
 
 
+#: Rows that go to Python at once: long texts make larger batches too large for an executor.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Batches for Python are made smaller for the session, unless it has a size of its own."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

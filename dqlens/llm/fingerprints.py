@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,8 +43,8 @@ def likeness(a: str, b: str) -> float:
     return float(a == b)
 
 
-def neighbours(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, text, next: each row with the text of the row after it, in ascending order of ids; the first comes after the last.
+def over_neighbours(df: DataFrame, id_col: str, text: str, make: Callable[[object, str, str], tuple], schema: str) -> DataFrame:
+    """make(id, text, text of the next row) for each row, in ascending order of ids; the first comes after the last. schema: of what make returns.
 
     Rows with equal ids are ordered by a hash of their texts; null ids come first. Ranges of ids are cut at quantiles; each gets its rows and a copy of the
     first row of the next range. So texts move once, and a task holds one row and the one before.
@@ -64,7 +64,7 @@ def neighbours(df: DataFrame, id_col: str, text: str) -> DataFrame:
     # one row a range: its least id, and among equal ones the least hash
     heads = rows.select("id", "h").withColumn("r", place("id")).groupBy("r").agg(F.min(F.struct("id", "h")).alias("m")).select("r", "m.*").orderBy("r").collect()  # at most MOST_RANGES rows
     if not heads:
-        return rows.select("id", "text", F.col("text").alias("next"))
+        return spark.createDataFrame([], schema)
     before = {heads[i].r: heads[i - 1].r for i in range(len(heads))}
     keys = spark.createDataFrame([(x.id, x.h, before[x.r]) for x in heads], "hid long, hh long, r int")
     first = rows.join(F.broadcast(keys), F.col("id").eqNullSafe(F.col("hid")) & (F.col("h") == F.col("hh"))).dropDuplicates(["hid", "hh"]).select("id", "text", "h", "r", F.lit(True).alias("head"))
@@ -78,12 +78,12 @@ def neighbours(df: DataFrame, id_col: str, text: str) -> DataFrame:
             out = []
             for key, t, r, head in zip(pdf["id"], pdf["text"], pdf["r"], pdf["head"], strict=True):
                 if last is not None and last[2] == r:
-                    out.append((last[0], last[1], t))
+                    out.append(make(last[0], last[1], t))
                 last = None if head else (key, t, r)
-            yield pd.DataFrame(out, columns=["id", "text", "next"])
+            yield pd.DataFrame(out, columns=names)
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return placed.select("id", "text", "r", "head").mapInPandas(run, f"id {kind}, text string, next string")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return placed.select("id", "text", "r", "head").mapInPandas(run, schema)
 
 
 def edited(text: str, following: str) -> str:
@@ -123,18 +123,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     """
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, t, following in zip(pdf["id"], pdf["text"], pdf["next"], strict=True):
-                e = edited(t, following)
-                a, b, c = canonical(t), canonical(e), canonical(following)
-                # bytes are compared where digests are made, so a collision can't make texts alike
-                rows.append((key, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), digest(a), digest(b), likeness(a, b), likeness(a, c)))
-            yield pd.DataFrame(rows, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+    def make(key, t: str, following: str) -> tuple:
+        e = edited(t, following)
+        a, b, c = canonical(t), canonical(e), canonical(following)
+        # bytes are compared where digests are made, so a collision can't make texts alike
+        return key, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), digest(a), digest(b), likeness(a, b), likeness(a, c)
 
     schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    marks = cut(neighbours(df, id_col, text).mapInPandas(run, schema))
+    marks = cut(over_neighbours(df, id_col, text, make, schema))
     twins = collisions(df, id_col, text, marks)
     if twins.limit(1).count():
         marks = _apart(df, id_col, text, marks, twins)
