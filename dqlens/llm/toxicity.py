@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that are read at most to fit the chain, in the order of their hashed ids; characters of their texts together.
-SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 40_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 16_000_000
 #: log2 of the number of hashed features; characters of the prefixes of words; folds; a score from which a row is toxic.
 BITS, PREFIXES, FOLDS, THRESHOLD = 20, (3, 4, 5, 6), 3, 0.5
 #: Labelled rows of a category from which it gets a link of the chain.
 LEAST_POSITIVE = 5
+#: Words whose features are remembered.
+CACHE = 100_000
 WORD = re.compile(r"\w+")
 
 
@@ -43,13 +45,13 @@ def features(text: str | None, cache: dict[str, tuple[int, ...]], bits: int = BI
     for w in set(WORD.findall((text or "").lower())):
         ids = cache.get(w)
         if ids is None:
-            if len(cache) > 200_000:
+            if len(cache) > CACHE:
                 cache.clear()
             own = {_hash(s) & ((1 << bits) - 1) for s in (w + "$", *(w[:n] for n in PREFIXES if len(w) >= n))}
             ids = cache[w] = tuple(own if only is None else own & only)
         if ids:
             found.update(ids)
-    return np.fromiter(sorted(found), np.int64, len(found))
+    return np.fromiter(sorted(found), np.int32, len(found))
 
 
 def _hash(s: str) -> int:
@@ -82,15 +84,17 @@ def fit_linear(rows: Sequence[np.ndarray], extra: np.ndarray, y: np.ndarray, bit
     of a text doesn't move its score.
     """
     size, n = 1 << bits, len(rows)
-    flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    flat = np.concatenate(rows) if n else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     known, at = np.unique(flat, return_inverse=True)
+    at = at.astype(np.int32)
+    del flat
     pos, every = np.bincount(at, y[row], len(known)), np.bincount(at, minlength=len(known))
     n_pos = max(1.0, float(y.sum()))
     n_neg = max(1.0, n - n_pos)
     odds = (pos / n_pos) / ((every - pos + 0.1) / n_neg)
     used = np.flatnonzero((pos >= max(3, 0.04 * n_pos)) & (odds >= 10))
-    new = np.full(len(known), -1)
+    new = np.full(len(known), -1, np.int32)
     new[used] = np.arange(len(used))
     at = new[at]
     row, at = row[at >= 0], at[at >= 0]
@@ -118,6 +122,7 @@ def fit(sample: pd.DataFrame, bits: int = BITS, folds: int = FOLDS) -> Chain:
     """
     cache: dict[str, tuple[int, ...]] = {}
     rows = [features(t, cache, bits) for t in sample["text"]]
+    cache.clear()
     y = sample["toxic"].fillna(0).to_numpy().astype(float)
     lang = sample["lang"].fillna("").to_numpy()
     names = [str(x) for x in sorted(set(lang)) if (y[lang == x]).sum() >= LEAST_POSITIVE]
@@ -125,7 +130,7 @@ def fit(sample: pd.DataFrame, bits: int = BITS, folds: int = FOLDS) -> Chain:
     names = [f"toxic_{x}" for x in names] + ["toxic"]
     fold = np.arange(len(rows)) % folds
     p = np.zeros((len(rows), len(names)))
-    weights, bias, links = np.zeros((len(names), 1 << bits)), np.zeros(len(names)), np.zeros((len(names), len(names)))
+    weights, bias, links = np.zeros((len(names), 1 << bits), np.float32), np.zeros(len(names)), np.zeros((len(names), len(names)))
     for k, target in enumerate(labels):
         if not target.sum():
             bias[k] = -30.0
