@@ -1,6 +1,5 @@
 """Known distributions give known answers."""
 
-import math
 import random
 
 import numpy as np
@@ -55,7 +54,6 @@ def test_change_points():
     alarms = sum(bool(T.change_points([r.gauss(0, 1) for _ in range(40)])) for _ in range(300))
     assert alarms / 300 < 0.10
     assert T.spikes([10, 11, 10, 12, 11, 10, 90, 11, 10, 12, 11]) == [6]
-    assert T.cusum([1, 1, 1, 2, 2, 2])["statistic"] == math.inf
 
 
 def test_osa():
