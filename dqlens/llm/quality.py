@@ -109,8 +109,13 @@ def quality(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules: Se
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: Sequence[tuple] = RULES) -> DataFrame:
-    """The rows of df that are kept, with df's columns."""
-    return judged(df, text, rules).where(F.col(PRE + "kept")).select(*df.columns)
+    """The rows of df that are kept, with df's columns.
+
+    The row's number, which isn't deterministic, keeps the filter above the measures: pushed below them, it would repeat each
+    measure's expression wherever a rule uses it.
+    """
+    out = judged(df, text, rules).withColumn(PRE + "row", F.monotonically_increasing_id())
+    return out.where(F.col(PRE + "kept") & (F.col(PRE + "row") >= 0)).select(*df.columns)
 
 
 def sql() -> str:
