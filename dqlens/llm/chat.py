@@ -134,9 +134,11 @@ def windows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
                 for w in own.add(r, t):
                     out.append(row(w))
                     k += 1
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        out = [row(w) for w in own.rest()] if own else []
+        if out:
             yield pd.DataFrame(out, columns=columns)
-        if own:
-            yield pd.DataFrame([row(w) for w in own.rest()], columns=columns)
 
     return rows.select("conv", "role", "text").mapInPandas(run, f"conv {kind}, window long, text string, repeated long, loss_starts array<long>, loss_lengths array<long>").withColumnRenamed("conv", conv)
 
@@ -173,7 +175,8 @@ def read_back(df: DataFrame, conv: str = "conv_id") -> DataFrame:
                     state[2] += len(x)
                     state[3].update(x.encode("utf-8", "surrogatepass"))
                 state[4] += len(t)
-            yield pd.DataFrame(out, columns=columns)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
         if state:
             yield pd.DataFrame([row()], columns=columns)
 

@@ -80,7 +80,8 @@ def over_neighbours(df: DataFrame, id_col: str, text: str, make: Callable[[objec
                 if last is not None and last[2] == r:
                     out.append(make(last[0], last[1], t))
                 last = None if head else (key, t, r)
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     names = [x.split()[0] for x in schema.split(", ")]
     return placed.select("id", "text", "r", "head").mapInPandas(run, schema)

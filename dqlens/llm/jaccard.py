@@ -329,6 +329,8 @@ def jaccard(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[keep(pdf["id"].to_numpy())]
+            if not len(pdf):
+                continue
             sets = [shingles(t, k) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), "set": [s.view(np.int64) for s in sets]})
 
