@@ -60,6 +60,7 @@ class Windows:
         self.past: list[tuple[str, str, int]] = []
         self.new: list[tuple[str, str, int]] = []
         self.used = self.count = 0
+        self.started = False
 
     def add(self, role: str, text: str) -> Iterator[dict]:
         n = self.tokens(text) + 4
@@ -73,7 +74,7 @@ class Windows:
             self.system, self.system_tokens = (role, text), n
 
     def repeated(self) -> list[tuple[str, str]]:
-        out = [self.system] if self.system and self.past else []
+        out = [self.system] if self.system and self.started else []
         return out + [(r, t) for r, t, _ in self.past]
 
     def window(self) -> dict:
@@ -89,7 +90,7 @@ class Windows:
         out = {"text": "".join(parts), "repeated": len(old), "spans": spans}
         # what the next window repeats: the last turns that fit into the history's budget, without the system turn
         turns = [*self.past, *self.new]
-        if self.system and turns and turns[0][:2] == self.system and not self.past:
+        if self.system and not self.started:
             turns = turns[1:]
         total, keep = 0, len(turns)
         while keep and total + turns[keep - 1][2] <= self.history:
