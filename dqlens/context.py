@@ -21,8 +21,8 @@ from .operators import temporal as TM
 ID_NAME = re.compile(r"(^|[_\-. ])(id|ids|uuid|guid|key|pk|sk|code|number|no|nr|num|ref|reference|hash|token)$|^(id|uuid|guid|pk)([_\-. ]|$)|[a-z](Id|ID|Key|Uuid|UUID|Guid)$|custkey$|orderkey$", re.X)
 TIME_NAME = re.compile(r"(date|time|timestamp|_ts$|^ts$|_at$|day|created|updated)", re.I)
 NOT_TIME_NAME = re.compile(r"(birth|dob|expir|due|planned|scheduled|deadline|valid_(to|until)|end_date)", re.I)
-#: Labels of a column that reach the driver, rows up to which counts of distinct numbers are exact.
-LABELS, EXACT_ROWS = 2_000, 5_000_000
+#: Labels of a column that reach the driver.
+LABELS = 2_000
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -160,29 +160,21 @@ class Context:
 
     # -- P1: value counts, kept in the cluster; the most frequent labels reach the driver
 
-    @cached_property
-    def counted(self) -> list[str]:
-        return [n for n in self.names if self.stored(n) != "number" or self.n <= EXACT_ROWS]
-
     @cached_property
     def counts(self) -> DataFrame:
-        return self.keep(A.value_counts(self.df, [self.col[n] for n in self.counted]))
+        return self.keep(A.value_counts(self.df, self.df.columns))
 
     @cached_property
     def uniques(self) -> dict[str, tuple[int, int]]:
-        """Distinct values and the count of the most frequent one."""
-        out = {r.column_name: (r.k, r.m) for r in self.counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("m")).collect()} if self.counted else {}
-        rest = [n for n in self.names if n not in self.counted]
-        if rest:
-            row = self.df.agg(*[F.approx_count_distinct(C.present(self.df, self.col[n]), 0.01).alias(self.col[n]) for n in rest]).head()
-            out |= {self.col[n]: (row[self.col[n]], 0) for n in rest}
+        """Distinct values and the count of the most frequent one, exact at any size."""
+        out = {r.column_name: (r.k, r.m) for r in self.counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("m")).collect()} if self.names else {}
         return {n: out.get(self.col[n], (0, 0)) for n in self.names}
 
     @cached_property
     def labels(self) -> dict[str, list[tuple[str, int]]]:
-        """The most frequent values of each counted column, at most LABELS of each, ties by label."""
+        """The most frequent values of each column (of numbers, where there are no more), at most LABELS of each, ties by label."""
         w = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-        small = [self.col[n] for n in self.counted if self.stored(n) != "number" or self.uniques[n][0] <= LABELS]
+        small = [self.col[n] for n in self.names if self.stored(n) != "number" or self.uniques[n][0] <= LABELS]
         # each partition keeps its own best first, so no task sorts all labels of a column
         part = Window.partitionBy("column_name", F.pmod(F.xxhash64("value"), F.lit(64))).orderBy(F.desc("n"), "value")
         top = self.counts.where(F.col("column_name").isin(*small)).withColumn("k", F.row_number().over(part)).where(f"k <= {LABELS}").withColumn("k", F.row_number().over(w)).where(f"k <= {LABELS}")

@@ -79,6 +79,15 @@ def test_rules_duplicates_and_schema(spark):
     assert next(f for f in report.findings if f.code == "duplicates.exact").evidence["rows"] == 27
 
 
+def test_counts_of_numbers_are_exact_in_a_large_table(spark):
+    n = 5_000_010
+    d = spark.range(n).select("id", F.when(F.col("id") % 1000 == 0, F.col("id").cast("double")).otherwise(7.0).alias("flat"))
+    report = dqlens.inspect(d, reference_time=NOW, detectors=("constant",))
+    assert report.schema["id"]["n_unique"] == n and report.schema["flat"]["n_unique"] == 5002
+    assert [(f.code, f.columns) for f in report.findings] == [("constant.near", ("flat",))]
+    assert report.findings[0].evidence["share"] == (n - 5001) / n
+
+
 @pytest.mark.parametrize("kind", ["empty", "one", "nulls", "nested", "names"])
 def test_degenerate_tables(spark, kind):
     d = {
