@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..context import Context
@@ -13,6 +16,9 @@ from ..operators import aggregates as A
 from ..functions import small as S
 from . import detector, finding, pct
 
+#: Complete rows on which a formula is guessed, complete rows in the sample that suffice for it.
+SCREEN, ENOUGH = 5_000, 1_000
+
 
 def selected(x: Context) -> tuple[list[str], list[str]]:
     most = x.config.performance.max_pairwise_columns
@@ -62,54 +68,93 @@ def _close(left: Column, right: Column) -> Column:
     return F.abs(left - right) <= 1e-6 * F.when(size == 0, 1.0).otherwise(size) + 1e-9
 
 
+def _complete(x: Context, groups: list[tuple[str, ...]]) -> Iterator[tuple[tuple[str, ...], np.ndarray]]:
+    """Complete rows of groups of columns on all rows: at most SCREEN of each, those with the lowest hashes of their places."""
+    d = x.df.withColumn("__h", F.xxhash64(F.monotonically_increasing_id(), F.lit(x.config.performance.random_state)))
+    for at in range(0, len(groups), 4 * A.CHUNK):
+        part = groups[at : at + 4 * A.CHUNK]
+        parts = [F.struct(F.lit(i).alias("g"), F.array(*[x.value(n) for n in g]).alias("v")) for i, g in enumerate(part)]
+        rows = d.select("__h", F.inline(F.array(*parts))).where(F.forall("v", lambda e: e.isNotNull()))
+        first = rows.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("__h"))).where(f"k <= {SCREEN}")
+        got: list[list] = [[] for _ in part]
+        for r in first.select("g", "v").collect():
+            got[r.g].append(r.v)
+        for g, v in zip(part, got, strict=True):
+            yield g, np.array(v, float).reshape(-1, len(g)).T
+
+
+def _screens(x: Context, nums: list[str], groups: list[tuple[str, ...]]) -> Iterator[tuple[tuple[str, ...], np.ndarray, bool]]:
+    """Of each group of columns: complete rows, spread over the table; and whether the columns agree in all complete rows of the sample.
+
+    A group with few complete rows in the sample of a larger table gets its rows from the whole table.
+    """
+    order = np.random.default_rng(x.config.performance.random_state).permutation(len(x.frame))
+    v = {n: x.frame[n].to_numpy()[order] for n in nums}
+    there = {n: np.isfinite(v[n]) for n in nums}
+    few = []
+    for g in groups:
+        at = np.flatnonzero(np.logical_and.reduce([there[n] for n in g]))
+        if x.sampled and len(at) < ENOUGH:
+            few.append(g)
+        elif len(at) >= 20:
+            rows = np.stack([v[n][at[:SCREEN]] for n in g])
+            yield g, rows, len(g) == 2 and np.array_equal(rows[0], rows[1]) and np.array_equal(v[g[0]][at], v[g[1]][at])
+    for g, rows in _complete(x, few):
+        if rows.shape[1] >= 20:
+            yield g, rows, len(g) == 2 and np.array_equal(rows[0], rows[1])
+
+
 @detector("redundancy")
 def redundancy(x: Context) -> list[Finding]:
-    """Formulas are guessed on a screen of 5,000 rows and checked on all rows, all of them in one pass."""
+    """Formulas are guessed on at most SCREEN complete rows for each group of columns and checked on all rows, together.
+
+    Columns that differ in a row of the sample aren't equal, so no equal pair is lost.
+    """
     out = []
     f = lambda *a, **k: out.append(finding("redundancy", *a, **k))
     nums = [n for n in x.numeric_like() if x.schema[n].n_unique > 2][:40]
     tests: list[tuple[str, tuple[str, ...], dict, Column, Column]] = []
     if nums and x.n >= 20:
-        import numpy as np
-
-        screen = x.frame.head(5_000)
-        v = {n: screen[n].to_numpy() for n in nums}
-        for a, b in combinations(nums, 2):
-            ok = np.isfinite(v[a]) & np.isfinite(v[b])
-            if ok.sum() < 20:
-                continue
-            u, w = v[a][ok], v[b][ok]
-            if np.array_equal(u, w):
+        for (a, b), (u, w), same in _screens(x, nums, list(combinations(nums, 2))):
+            if same:
                 tests.append(("identical", (a, b), {}, x.value(a), x.value(b)))
-                continue
             if u.std() == 0 or w.std() == 0:
                 continue
-            ranks = S.spearman(screen[a], screen[b]) or 0.0
+            ranks = S.spearman(pd.Series(u), pd.Series(w)) or 0.0
             if abs(ranks) >= 0.95:
-                slope, base = _line(u, w)
+                slope, base = (1.0, 0.0) if same else _line(u, w)
                 if (np.abs(w - slope * u - base) <= 1e-6 * np.maximum(np.abs(w), 1e-9) + 1e-9).mean() >= 0.9:
                     tests.append(("linear", (a, b), {"slope": slope, "intercept": base}, x.value(a) * slope + base, x.value(b)))
-        for z, a, b in ((z, a, b) for z in nums[:25] for a, b in combinations([n for n in nums[:25] if n != z], 2)):
-            ok = np.isfinite(v[z]) & np.isfinite(v[a]) & np.isfinite(v[b])
-            if ok.sum() < 20 or any(set(k[1]) == {z, a, b} for k in tests):
-                continue
-            close = np.abs(v[a][ok] + v[b][ok] - v[z][ok]) <= 1e-6 * np.maximum(np.abs(v[z][ok]), 1e-9) + 1e-9
-            if close.mean() >= 0.9 and v[a][ok].std() > 0 and v[b][ok].std() > 0:
-                tests.append(("sum", (z, a, b), {}, x.value(a) + x.value(b), x.value(z)))
-    if tests:
-        row = x.df.agg(*[F.struct(F.count(F.when(p.isNotNull() & q.isNotNull(), 1)).alias("n"), F.count(F.when(_close(p, q), 1)).alias("k")).alias(f"t{i}") for i, (*_, p, q) in enumerate(tests)]).head()
-        for i, (kind, cols, how, _, _) in enumerate(tests):
+        for g, rows, _ in _screens(x, nums[:25], list(combinations(nums[:25], 3))):
+            for k, z in enumerate(g):
+                i, j = (m for m in range(3) if m != k)
+                close = np.abs(rows[i] + rows[j] - rows[k]) <= 1e-6 * np.maximum(np.abs(rows[k]), 1e-9) + 1e-9
+                if close.mean() >= 0.9 and rows[i].std() > 0 and rows[j].std() > 0:
+                    tests.append(("sum", (z, g[i], g[j]), {}, x.value(g[i]) + x.value(g[j]), x.value(z)))
+    tests.sort(key=lambda t: (t[0] == "sum", [nums.index(n) for n in t[1]], t[0]))
+    done: set[frozenset[str]] = set()
+    for at in range(0, len(tests), A.CHUNK):
+        part = tests[at : at + A.CHUNK]
+        row = x.df.agg(*[F.struct(F.count(F.when(p.isNotNull() & q.isNotNull(), 1)).alias("n"), F.count(F.when(p == q if kind == "identical" else _close(p, q), 1)).alias("k")).alias(f"t{i}") for i, (kind, *_, p, q) in enumerate(part)]).head()
+        for i, (kind, cols, how, _, _) in enumerate(part):
             n, k = row[f"t{i}"].n, row[f"t{i}"].k
-            share = k / n if n else 0.0
+            if n < 20 or frozenset(cols) in done:
+                continue
+            share = k / n
             evidence = how | {"rows": n, "holds": k, "share": share}
-            if kind == "identical" and k == n:
+            if kind == "identical":
+                if k < n:
+                    continue
                 f("redundancy.identical", "relationships", "warning", "Equal columns", f"{cols[0]} and {cols[1]} are equal.", cols, evidence=evidence, suggestion="Keep one of them.")
-            elif kind == "linear" and share >= 0.95:
+            elif share < 0.95:
+                continue
+            elif kind == "linear":
                 broken = share < 0.999
                 f("redundancy.linear_broken" if broken else "redundancy.linear", "relationships", "warning", "Broken formula" if broken else "Linear copy", f"{cols[1]} = {how['slope']:g} * {cols[0]} + {how['intercept']:g} in {pct(share)} of the rows.", cols, evidence=evidence, suggestion="Look at the rows that break it." if broken else "Keep one of them.")
-            elif kind == "sum" and share >= 0.95:
+            else:
                 broken = share < 0.999
                 f("redundancy.sum_broken" if broken else "redundancy.sum", "relationships", "warning" if broken else "info", "Broken sum" if broken else "Sum of columns", f"{cols[0]} = {cols[1]} + {cols[2]} in {pct(share)} of the rows.", cols, evidence=evidence)
+            done.add(frozenset(cols))
     cats = [n for n in x.of_type("categorical", "identifier", "boolean", "numeric") if 3 <= x.schema[n].n_unique <= 10_000][:30]
     for a, b in combinations(cats, 2):
         if x.schema[a].n_unique != x.schema[b].n_unique or "categorical" not in (x.schema[a].semantic_type, x.schema[b].semantic_type):
@@ -122,8 +167,6 @@ def redundancy(x: Context) -> list[Finding]:
 
 def _line(u, w) -> tuple[float, float]:
     """A line through most points: least squares three times on the nearest nine tenths, figures to six digits."""
-    import numpy as np
-
     keep = np.ones(len(u), bool)
     for _ in range(3):
         slope, base = np.polyfit(u[keep], w[keep], 1)

@@ -88,6 +88,28 @@ def test_counts_of_numbers_are_exact_in_a_large_table(spark):
     assert report.findings[0].evidence["share"] == (n - 5001) / n
 
 
+def redundant(d, **settings):
+    report = dqlens.inspect(d, reference_time=NOW, detectors=("redundancy",), **settings)
+    assert not [f for f in report.findings if f.code == "dqlens.detector_error"]
+    return {(f.code, f.columns) for f in report.findings}
+
+
+def test_formulas_that_the_first_rows_hide(spark):
+    i, v = F.col("id"), (F.hash("id") % 100_000).cast("double")
+    d = spark.range(40_000).select(
+        v.alias("v"), F.when(i >= 8_000, v).alias("late_copy"), F.when(i < 1_500, F.rand(1)).otherwise(3 * v + 2).alias("bad_start"), F.when(i >= 39_000, v + 1).otherwise(v).alias("bad_end")
+    )
+    assert redundant(d) >= {("redundancy.identical", ("v", "late_copy")), ("redundancy.linear_broken", ("v", "bad_start")), ("redundancy.linear_broken", ("v", "bad_end"))}
+
+
+def test_formulas_of_columns_that_the_sample_hardly_has(spark):
+    i, v = F.col("id"), (F.hash("id") % 100_000).cast("double")
+    some = lambda e: F.when(i % 400 == 7, e)
+    d = spark.range(40_000).select(some(v).alias("a"), some(v).alias("copy"), some(F.when(i > 39_000, v).otherwise(2 * v)).alias("double"), some(F.hash("id", F.lit(1)) % 1000).alias("b")).withColumn("total", F.col("a") + F.col("b"))
+    got = redundant(d, performance={"sample_rows": 1_000})
+    assert got >= {("redundancy.identical", ("a", "copy")), ("redundancy.linear_broken", ("a", "double")), ("redundancy.sum", ("total", "a", "b"))}
+
+
 @pytest.mark.parametrize("kind", ["empty", "one", "nulls", "nested", "names"])
 def test_degenerate_tables(spark, kind):
     d = {
