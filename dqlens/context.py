@@ -393,13 +393,9 @@ class Context:
 
     @cached_property
     def sample(self) -> DataFrame:
-        """At most sample_rows rows, by hash; all of them where there are no more."""
+        """At most sample_rows rows, by hash of their places; all of them where there are no more."""
         most = self.config.performance.sample_rows
-        if self.n <= most:
-            return self.df
-        share = 1.2 * most / self.n
-        h = F.xxhash64(*self.df.columns, F.lit(self.config.performance.random_state))
-        return self.keep(self.df.where(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * min(1.0, share)) + 1).limit(most))
+        return self.df if self.n <= most else self.keep(A.spread(self.df, most, self.n, self.config.performance.random_state))
 
     @cached_property
     def frame(self):

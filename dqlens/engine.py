@@ -16,6 +16,7 @@ from .context import Context
 from .detectors import finding, pct, tiered
 from .findings import Finding, Report, ordered
 from .functions import columns as C
+from .operators import aggregates as A
 from .operators import drift as D
 from .sources.load import load
 
@@ -162,8 +163,8 @@ def domain_auc(a: Context, b: Context, names: list[str], rows: int = 20_000, fol
                 cols.append(e.alias(f"f{i}"))
             else:
                 cols.append(F.coalesce(x.value(n), F.lit(-1e9)).alias(f"f{i}"))
-        h = F.xxhash64(*x.df.columns)
-        return x.df.select(*cols, F.lit(label).alias("label"), F.pmod(h, F.lit(folds)).cast("int").alias("fold"), h.alias("h")).orderBy("h").limit(rows).drop("h")
+        part = A.spread(x.df.select(*cols, F.lit(label).alias("label")), rows, x.n)
+        return part.withColumn("fold", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(folds)).cast("int"))
 
     d = VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features").transform(side(a, 0.0).unionByName(side(b, 1.0))).select("features", "label", "fold").persist()
     try:

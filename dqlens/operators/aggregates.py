@@ -70,6 +70,14 @@ def histogram(df: DataFrame, name: str, bins: int = 30, clip: tuple[float, float
     return v.select(F.when(F.col("hi") > F.col("lo"), k).otherwise(F.lit(0)).cast("long").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+def spread(df: DataFrame, most: int, n: int, seed: int = 0) -> DataFrame:
+    """At most `most` of df's n rows, those with the lowest hashes of their places, in that order: copies of a row are chosen one by one."""
+    share = (1.2 * most + 10 * most**0.5) / max(1, n)
+    d = df.withColumn("__h", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
+    # few rows pass, so that one task can sort them
+    return d.where(F.pmod("__h", F.lit(1_000_000_000)) < int(1e9 * min(1.0, share)) + 1).orderBy("__h").limit(most).drop("__h")
+
+
 def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """column_name, value, n: values as strings, of all columns in one shuffle with partial sums."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), C.present(df, c).cast("string").alias("value")) for c in names])

@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TREES, ROWS, SAMPLE = 100, 256, 20_000
+from .aggregates import spread
+
+#: Trees, rows of a tree, rows that trees draw theirs from.
+TREES, ROWS, SAMPLE = 100, 256, 200_000
 
 
 def depth_of(n: float) -> float:
@@ -60,24 +63,25 @@ def scores(x: np.ndarray, trees: Sequence[list[tuple]], rows: int) -> np.ndarray
 
 
 def scored(df: DataFrame, names: Sequence[str], seed: int = 0) -> DataFrame:
-    """Complete rows of df (names only) with a score; robustly scaled. The sample is of fixed size, rows with the lowest hashes."""
+    """Complete rows of df (names only) with a score; scaled by the medians and quartiles of all of them. Trees draw from SAMPLE rows, by hash of their places."""
     full = df.select(*[F.col(n).cast("double").alias(n) for n in names]).na.drop()
-    sample = full.orderBy(F.xxhash64(*names, F.lit(seed))).limit(SAMPLE).toPandas().to_numpy(float)
-    if len(sample) < 50:
+    facts = full.agg(F.count(F.lit(1)), *[F.percentile(F.col(f"`{n}`"), F.array(*map(F.lit, (0.25, 0.5, 0.75)))) for n in names]).head()
+    if facts[0] < 50:
         return full.withColumn("score", F.lit(0.0))
-    mid = np.median(sample, 0)
-    spread = np.quantile(sample, 0.75, axis=0) - np.quantile(sample, 0.25, axis=0)
-    spread[spread == 0] = 1.0
-    rng, x = np.random.default_rng(seed), (sample - mid) / spread
+    low, mid, high = np.array(facts[1:], float).T
+    spreads = high - low
+    spreads[spreads == 0] = 1.0
+    sample = spread(full, SAMPLE, facts[0], seed).toPandas().to_numpy(float)
+    rng, x = np.random.default_rng(seed), (sample - mid) / spreads
     rows = min(ROWS, len(x))
     trees = [grow(x[rng.choice(len(x), rows, replace=False)], rng, math.ceil(math.log2(rows))) for _ in range(TREES)]
-    shared = df.sparkSession.sparkContext.broadcast((trees, mid, spread, rows))
+    shared = df.sparkSession.sparkContext.broadcast((trees, mid, spreads, rows))
     cols = list(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees, mid, spread, rows = shared.value
+        trees, mid, spreads, rows = shared.value
         for pdf in batches:
-            yield pdf.assign(score=scores((pdf[cols].to_numpy(float) - mid) / spread, trees, rows))
+            yield pdf.assign(score=scores((pdf[cols].to_numpy(float) - mid) / spreads, trees, rows))
 
     return full.mapInPandas(run, ", ".join(f"`{n}` double" for n in names) + ", score double")
 

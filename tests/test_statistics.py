@@ -7,7 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dqlens.config import build_config
+from dqlens.context import Context
 from dqlens.detectors.content import osa_distance
+from dqlens.engine import domain_auc
 from dqlens.operators import aggregates as A
 from dqlens.operators import drift as D
 from dqlens.operators import temporal as T
@@ -66,6 +69,37 @@ def test_forest_finds_the_far_point(spark):
     assert (top.x, top.y) == (9.0, -9.0)
 
 
+def with_copies(spark, n, key):
+    """n normal points and n copies of a point whose values hash low."""
+    points = lambda rows, seed: spark.range(rows, numPartitions=4).select(F.randn(seed).alias("x"), F.randn(seed + 1).alias("y"))
+    low = points(200_000, 21).orderBy(key).first()
+    assert abs(low.x) < 5 and abs(low.y) < 5
+    return points(n, 31), spark.range(n, numPartitions=4).select(F.lit(low.x).alias("x"), F.lit(low.y).alias("y"))
+
+
+def test_forest_sees_more_than_the_copies_of_a_row(spark):
+    own, copies = with_copies(spark, 25_000, F.xxhash64("x", "y", F.lit(0)))
+    d = own.unionByName(copies).unionByName(spark.createDataFrame([(15.0, -15.0)], "x double, y double"))
+    top = scored(d, ["x", "y"]).orderBy(F.desc("score")).limit(2).collect()
+    assert (top[0].x, top[0].y) == (15.0, -15.0) and top[0].score > top[1].score
+
+
+def test_sample_holds_copies_by_their_share(spark):
+    own, copies = with_copies(spark, 20_000, F.pmod(F.xxhash64("x", "y", F.lit(0)), F.lit(1_000_000)))
+    x = Context(copies.unionByName(own), build_config(None, performance={"sample_rows": 1_000}))
+    frame = x.sample.toPandas()
+    x.close()
+    assert len(frame) == 1_000 and 0.4 < frame.duplicated(keep=False).mean() < 0.6
+
+
+def test_domain_classifier_sees_more_than_the_copies_of_a_row(spark):
+    own, copies = with_copies(spark, 25_000, F.xxhash64("x", "y"))
+    a, b = (Context(copies.unionByName(d), build_config(None)) for d in (own, own.withColumn("x", F.col("x") + 6)))
+    auc = domain_auc(a, b, ["x", "y"])
+    a.close(), b.close()
+    assert auc > 0.7
+
+
 def test_sketch_and_merge(spark):
     d = spark.range(20_000).select("id", (F.col("id") % 97).cast("double").alias("v"))
     parts = P.state(d.where("id % 3 = 0")).unionByName(P.state(d.where("id % 3 > 0")))
