@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title select option datalist button textarea map".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption legend".split())
 CLOSES_P = BLOCK - {"html", "body", "dialog"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -91,7 +92,18 @@ class Blocks(HTMLParser):
             self.blocks.append(Block(text, at, self.links, frozenset(self.seen)))
         self.parts, self.links, self.seen = [], 0, set()
 
+    def leave_head(self, inner: tuple[str, ...] = ("noscript", "template")) -> None:
+        """Closes an open head, whose end tag may be left out; not from inside elements that hold other markup there."""
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in inner:
+                return
+            if self.open[i].tag == "head":
+                self.cut(i)
+                return
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        if self.hidden and tag not in IN_HEAD:
+            self.leave_head(() if tag == "body" else ("noscript", "template"))
         if tag in BLOCK:
             self.end_block()
             if tag in CLOSES_P:
@@ -155,6 +167,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.node.tag == "head" and data.strip(" \t\n\f\r"):
+            self.leave_head()
         if self.hidden:
             return
         self.parts.append(data)

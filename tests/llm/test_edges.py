@@ -96,3 +96,15 @@ def test_url_edges(spark):
     assert sum("example.org/es/" in x and "block" in x for x in got) == 2
     assert urls.judged(pages.limit(0), labels).collect() == []
     assert urls.judged(pages, labels.limit(0)).count() == 6
+
+
+@pytest.mark.parametrize("head", ["<title>T</title><body>", "<title>T</title>", "<meta charset=utf-8><noscript><p>N</p></noscript><template><p>X</p></template><script>var p = '<p>';</script><body>", "<link rel=x><noscript><img src=x></noscript><title>T</title><main>", "<style>p {}</style><title>T<body>", "<title>T</title></head><body>"])
+def test_pages_without_the_end_of_the_head(head):
+    text = "This is a long sentence of the main text, which stands in a paragraph of its own."
+    page = f"<!doctype html><html><head>{head}<p>{text}</p><p>{text}</p>"
+    assert extraction.main_text(page) == f"{text}\n{text}"
+
+
+def test_text_ends_a_head():
+    text = "This is a long sentence of the main text, which stands in no paragraph at all."
+    assert extraction.main_text(f"<html><head><title>T</title>\n{text}") == text
