@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dqlens.llm import chat, extraction, fingerprints, jaccard, mixing, packing, quality, sharding, toxicity, urls
+from dqlens.llm import chat, extraction, fingerprints, jaccard, mixing, packing, quality, queries, sharding, toxicity, urls
 from dqlens.llm.queries import tokenizer_path
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta. " * 4000
@@ -108,3 +108,13 @@ def test_pages_without_the_end_of_the_head(head):
 def test_text_ends_a_head():
     text = "This is a long sentence of the main text, which stands in no paragraph at all."
     assert extraction.main_text(f"<html><head><title>T</title>\n{text}") == text
+
+
+def test_the_url_query_mines_rules_from_labels_that_bear_on_urls(spark, tmp_path):
+    kinds = ["http://m.casino-win.example.net/en/{}.html", "http://news.example.net/en/{}.html", "https://blog.example.net/en/{}?page=2", "https://shop.example.net/it/{}"]
+    pages = [(i, kinds[i % 4].format(i), "<p>x</p>") for i in range(400)]
+    labels = [(i, int(i % 4 != 0), 0) for i in range(0, 400, 3)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.page_id: r.verdict for r in queries.op8_url_filters(spark, str(tmp_path)).collect()}
+    assert got == {i: "allow" if i % 4 else "block" for i in range(400)}
