@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -144,14 +145,23 @@ def fit(sample: pd.DataFrame, bits: int = BITS, folds: int = FOLDS) -> Chain:
 
 
 def sampled(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> pd.DataFrame:
-    """Labelled rows for fit(): at most rows of them, those with the lowest hashes of their ids, whole texts."""
+    """Labelled rows for fit(), whole texts: at most rows of them, those with the lowest hashes of their ids.
+
+    In the order of those hashes, texts that SAMPLE_CHARS characters have no more room for are left out, and only those.
+    """
     chosen = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
-    chosen = chosen.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    chosen = chosen.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(rows)
     got = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(chosen), "id")
-    out = got.select("id", "text", "lang", "toxic").toPandas()
-    out = out.sort_values(["id", "lang", "text"], na_position="first").reset_index(drop=True)
-    total = out["text"].fillna("").str.len().cumsum()
-    return out[total <= SAMPLE_CHARS] if len(out) else out
+    got = got.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    out = got.select("id", "text", "lang", "toxic", "h").toPandas().sort_values(["h", "id", "lang", "text"], na_position="first")
+    room, fits = SAMPLE_CHARS, []
+    for n in out["text"].fillna("").str.len():
+        fits.append(n <= room)
+        room -= n if n <= room else 0
+    out = out[np.array(fits, bool)].drop(columns="h").sort_values(["id", "lang", "text"], na_position="first").reset_index(drop=True)
+    if not out["toxic"].sum():
+        warnings.warn("no toxic row among the labelled rows to fit on: no text will be found toxic", stacklevel=2)
+    return out
 
 
 def _shared(df: DataFrame, chain: Chain):

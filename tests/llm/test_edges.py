@@ -118,3 +118,13 @@ def test_the_url_query_mines_rules_from_labels_that_bear_on_urls(spark, tmp_path
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = {r.page_id: r.verdict for r in queries.op8_url_filters(spark, str(tmp_path)).collect()}
     assert got == {i: "allow" if i % 4 else "block" for i in range(400)}
+
+
+def test_the_bound_of_characters_drops_only_texts_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1_000)
+    d = spark.createDataFrame([(0, "x" * 1_001, "en"), *[(i, "y" * 100, "en") for i in range(1, 21)]], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(21)], "doc_id long, toxic int")
+    first = [r.doc_id for r in d.where("doc_id > 0").orderBy(F.xxhash64("doc_id")).limit(10).collect()]
+    assert toxicity.sampled(d, labels)["id"].tolist() == sorted(first)
+    with pytest.warns(UserWarning, match="toxic"):
+        toxicity.sampled(d, labels.withColumn("toxic", F.lit(0)))
