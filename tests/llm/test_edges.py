@@ -128,3 +128,15 @@ def test_the_bound_of_characters_drops_only_texts_that_do_not_fit(spark, monkeyp
     assert toxicity.sampled(d, labels)["id"].tolist() == sorted(first)
     with pytest.warns(UserWarning, match="toxic"):
         toxicity.sampled(d, labels.withColumn("toxic", F.lit(0)))
+
+
+def test_shards_of_slots_are_multinomial(spark):
+    sources = mixing.targets(spark.createDataFrame([("a", 40_000, 9), ("b", 30_000, 9), ("c", 50_000, 9)], "source string, total long, rows long"))
+    drawn = mixing.slots(sources, block=10, shard_blocks=600)
+    counts = {(r.shard, r["rank"]): r.slots for r in mixing.shard_counts(drawn).collect()}
+    assert {s for s, _ in counts} == set(range(20)) and sum(counts.values()) == drawn.count()
+    for rank in range(3):
+        own = [counts.get((s, rank), 0) for s in range(20)]
+        mean = sum(own) / 20
+        # 19 degrees of freedom: beyond these bounds once in 10,000 draws
+        assert 4 < sum((x - mean) ** 2 / mean for x in own) < 52
