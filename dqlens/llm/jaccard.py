@@ -327,16 +327,19 @@ def jaccard(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     keep = id_filter(wanted, "id")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         for pdf in batches:
             pdf = pdf[keep(pdf["id"].to_numpy())]
             if not len(pdf):
                 continue
             sets = [shingles(t, k) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "set": [s.view(np.int64) for s in sets]})
+            # rows that share an id may have other texts, so sets are known by their digests
+            yield pd.DataFrame({"node": [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets], "set": [s.view(np.int64) for s in sets]})
 
     kind = df.schema[id_col].dataType.simpleString()
-    all_sets = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(sets_of, "id long, set array<long>")
-    sets = cut(all_sets.join(wanted, "id").where(F.size("set") == F.col("n")).select("node", "n", "set").dropDuplicates(["node"]))
+    all_sets = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(sets_of, "node long, set array<long>")
+    sets = cut(all_sets.join(wanted, "node").where(F.size("set") == F.col("n")).select("node", "n", "set").dropDuplicates(["node"]))
     links = links_in(found, sets, percent)
     least = nodes.select("node", F.col("id").alias("least"))
     if links is not None:
@@ -348,6 +351,12 @@ def jaccard(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that are the smallest of their component, with df's columns. Repeated rows of such an id stay one."""
-    chosen = jaccard(df, id_col, text).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    return df.join(chosen, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    """One row of each component, with df's columns: that of the smallest id, rows without one coming last.
+
+    Rows count as the same if id and text are equal, nulls included; such a row stays once. Other rows that share an id, or have none, are rows of their own.
+    """
+    i, t = F.col(id_col), F.col(text)
+    keyed = df.withColumn("__key", F.xxhash64(i, t, i.isNull(), t.isNull()))
+    found = jaccard(keyed, "__key", text).distinct().join(keyed.select("__key", i.alias("__id")).distinct(), "__key")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key")).alias("first"))
+    return keyed.join(first.select("first.__key"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

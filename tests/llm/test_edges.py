@@ -140,3 +140,17 @@ def test_shards_of_slots_are_multinomial(spark):
         mean = sum(own) / 20
         # 19 degrees of freedom: beyond these bounds once in 10,000 draws
         assert 4 < sum((x - mean) ** 2 / mean for x in own) < 52
+
+
+def test_one_of_each_component_stays_whatever_its_id(spark):
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (3, text("c")), (3, text("d")), (3, text("d")), (4, text("d") + " more"), (None, text("c") + " more"), (5, None), (None, None)]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame([rows[k] for k in (0, 1, 2, 3, 7, 8)], "doc_id long, text string").collect())
+
+
+def test_links_use_the_text_of_their_row(spark):
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(3, text("c")), (3, text("d")), (4, text("d") + " more"), (5, text("c") + " more")]
+    got = jaccard.jaccard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (3, 3), (4, 3), (5, 3)]
