@@ -1,15 +1,17 @@
 """N-gram Jaccard join: an exact similarity join of shingle sets as points of a metric space.
 
-Nearly all pairs of texts are at Jaccard distance 1, and so is a text from any pivot, so regions around
-pivots alone can't tell texts apart. Regions are therefore made in two steps.
-
-1. Cells. Shingles are ordered by the number of sets that have them, rarest first. Two sets of similarity s
-   or more share one of the first |x| - ceil(s |x|) + 1 shingles of each, so every link lies inside
-   the cell of a shared one. A set whose first shingles are all its own has no link and no cell. This is done with a part of the hash
-   range first, over all sets, and with all shingles of the sets that it leaves.
-2. Pivots. In each cell a pivot is drawn and its distances to the others are computed; sets within reach
-   of it are linked to it. Pairs are left out that can't be near each other by what they share with the pivot (the triangle inequality,
-   sharpened), or that are connected already. The few others are compared; cells with too many go on to further pivots.
+1. Cells. Nearly all pairs of texts are at Jaccard distance 1, and so is a text from nearly every pivot: windows around its bisectors would copy each
+   text into every region. So the first pivots are single shingles. They are ordered by the number of sets that have them, rarest first; a set belongs to its
+   first one, and it is copied to the next ones as far as a linked set may belong there: two sets of similarity s or more share one of
+   the first |x| - ceil(s |x|) + 1 shingles of each. A set whose first shingles are all its own has no link and no cell. This is done with a part of
+   the hash range first, over all sets, and with all shingles of the sets that it leaves.
+2. Regions. Each cell offers a set of it as a pivot, and each set belongs to the region of the nearest pivot that its cells offer (Voronoi). Sets at the boundary
+   are copied: a set visits the regions of all sets in its cells, unless the triangle inequality says that it is too far from the pivot to have
+   a link there. Sets within reach of a pivot are linked to it.
+3. Rings. Inside a region, sets are in rings by their distance from the pivot, each as wide as a link may be long; by the
+   triangle inequality linked sets are in the same ring or in neighbouring ones. Those that aren't connected yet are compared, unless what they share with
+   the pivot, and outside of it with anyone, rules a link out.
+4. Recursion. A region with too much to compare draws pivots among its sets that aren't connected yet, and is divided into regions again.
 
 Exact copies of a set are one point throughout.
 """
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard
@@ -30,8 +32,10 @@ WORDS, SIMILARITY = 5, 80
 #: Share of the hash range whose shingles are counted; a set's first shingles are nearly always among them, else the next ones are taken as well.
 COUNTED = 0.35
 BOUND = np.uint64(int(COUNTED * 2**64))
-#: Entries that one task sorts; pairs of a cell that are looked at (not compared) together; rounds of pivots at most, and pivots of a cell in one.
-ENTRIES, CELL_WORK, ROUNDS, PIVOTS = 1_500_000, 4_000_000, 10, 8
+#: Entries that one task sorts; pairs with one pivot, or rows of a region, that go to one place.
+ENTRIES, DEALT = 1_500_000, 500
+#: Pairs of rows of a region from which it is divided; pivots that divide it; how often (beyond that its rows are compared in blocks of DEALT).
+WORK, PIVOTS, LEVELS = 250_000, 8, 4
 #: Links that one task joins.
 ONE_TASK = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -56,6 +60,13 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     return np.unique(s)
 
 
+def node_of(s: np.ndarray) -> int | None:
+    """The digest that a set is known by; None for an empty set."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None
+
+
 def prefix(n, percent: int = SIMILARITY):
     """How many of its first shingles a set of n must offer."""
     return n - (percent * n + 99) // 100 + 1
@@ -64,21 +75,18 @@ def prefix(n, percent: int = SIMILARITY):
 def signatures(df: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
     """id, n (size of the set), node (digest of the set), counted (its shingles under BOUND), more (the next ones, if those are too few)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for pdf in batches:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
             rows = []
-            for key, t in zip(pdf["id"], pdf["text"], strict=True):
+            for t in batch:
                 s = shingles(t, k)
                 n, c = len(s), int(np.searchsorted(s, BOUND))
-                node = xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if n else None
                 want = prefix(n, percent)
-                rows.append((key, n, node, c, s[c:want].view(np.int64).tolist() if n and c < want else None))
-            yield pd.DataFrame({"id": [r[0] for r in rows], "n": [r[1] for r in rows], "node": pd.array([r[2] for r in rows], "Int64"), "counted": [r[3] for r in rows], "more": [r[4] for r in rows]})
+                rows.append((n, node_of(s), c, s[c:want].view(np.int64).tolist() if n and c < want else None))
+            yield pd.DataFrame({"n": [r[0] for r in rows], "node": pd.array([r[1] for r in rows], "Int64"), "counted": [r[2] for r in rows], "more": [r[3] for r in rows]})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, n long, node long, counted long, more array<long>")
+    made = F.pandas_udf(run, "n long, node long, counted long, more array<long>")
+    return df.select(F.col(id_col).alias("id"), made(F.col(text)).alias("made")).select("id", "made.*")
 
 
 def _blobs(part: np.ndarray, columns: list[np.ndarray]) -> pd.DataFrame:
@@ -108,8 +116,6 @@ def shared_shingles(df: DataFrame, text: str, k: int, parts: int, bound: np.uint
     """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         def flush():
             s, node = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             held.clear()
@@ -123,7 +129,7 @@ def shared_shingles(df: DataFrame, text: str, k: int, parts: int, bound: np.uint
                 s = shingles(t, k)
                 if not len(s):
                     continue
-                node = xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
+                node = node_of(s)
                 if node in seen:
                     continue
                 if len(seen) < 500_000:
@@ -236,62 +242,111 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": list(up), "root": [root(x) for x in list(up)]}, dtype="int64")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with inter (size of the intersection) and total (of the union). sets: node, n, set."""
-    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("__m"), F.col("set").alias("__x")), "a")
-    y = x.join(sets.select(F.col("node").alias("b"), F.col("n").alias("__n"), F.col("set").alias("__y")), "b")
-    inter = F.size(F.array_intersect("__x", "__y")).cast("long")
-    return y.select("a", "b", inter.alias("inter"), (F.col("__m") + F.col("__n") - inter).alias("total"))
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (node, p), each once, with n and pn (sizes of their sets) and inter (size of the intersection). sets: node, n, set.
 
+    A pivot p of many pairs is dealt out: its set goes to one place for every DEALT of them.
+    """
+    hot = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts")).where("parts > 1")
+    left = pairs.join(hot, "p", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    left = left.join(sets.select("node", "n", F.col("set").alias("x")), "node")
+    right = sets.select(F.col("node").alias("p"), F.col("n").alias("pn"), F.col("set").alias("y")).join(hot, "p", "left")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(right, ["p", "part"]).select("node", "p", "n", "pn", F.size(F.array_intersect("x", "y")).cast("long").alias("inter"))
 
-def links_in(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) of nodes that keep all connections between the sets of each cell. found: s, node, have (of all shingles), two rows or more of each s; None if there are none.
 
-    The first pivot of a cell is the member that offers most shingles: the one with the fewest of its own, as the text that others are
-    edited from. Of each member the cell then knows what it shares with the pivot, and how many of its other shingles anyone has. Two members share at most
-    the lesser of the first and the lesser of the second; that is the triangle inequality's window, made
-    tighter by what lies outside the pivot. Pairs that pass, of members that aren't connected yet, are compared.
-    A cell in which those would be too many draws further pivots among the members outside its main component, and goes on without them.
+def _linked(pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the measured pairs that are links, as a and b."""
+    return pairs.where((F.col("node") != F.col("p")) & (100 * F.col("inter") >= percent * (F.col("n") + F.col("pn") - F.col("inter")))).select(F.col("node").alias("a"), F.col("p").alias("b"))
+
+
+def _ring(percent: int) -> Column:
+    """The distance of a measured pair in whole lengths of the longest link, in integers: from any pivot, linked sets differ in it by 1 at most."""
+    return F.expr(f"cast((100 * (n + pn - 2 * inter)) div ({100 - percent} * (n + pn - inter)) AS int)")
+
+
+def regions(offers: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the first regions, and the links to their pivots. offers: s, node, have, deg.
+
+    Rows: region (its pivot), node, n, have, own (the region that the set belongs to), o (what it shares with the pivot), ring.
+
+    The pivot of a cell is the set of most cells, the text that others are edited from. Linked sets share a cell, so each of them visits the
+    region of the other if it visits those of all sets in its cells. Cells whose sets belong to the same regions are of one kind; sets
+    are joined with kinds of cells, not with each cell.
     """
-    sizes = sets.select("node", "n")
-    degree = found.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
-    none = F.lit(None).cast("long")
-    active = cut(found.join(degree, "node").join(sizes, "node").select("s", "node", "n", "have", "deg", none.alias("o"), F.lit(True).alias("minor")))
-    links = None
-    for k in range(ROUNDS):
-        if active.limit(1).count() == 0:
-            break
-        if k == 0:
-            pivots = active.groupBy("s").agg(F.max(F.struct("deg", F.xxhash64("node").alias("h"), "node"))["node"].alias("p"))
-        else:
-            order = F.struct(F.xxhash64("node", "s", F.lit(k)).alias("h"), "node")
-            pivots = active.where("minor").groupBy("s", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("b")).agg(F.min(order)["node"].alias("p")).select("s", "p")
-        drawn = active.join(pivots, "s").where("node <> p")
-        got = cut(compared(drawn.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct(), sets))
-        new = got.where(f"100 * inter >= {percent} * total").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
-        # pivots are done with; the others know what they share with the first one, and their component so far
-        rest = active.join(pivots.select("s", F.col("p").alias("node")), ["s", "node"], "left_anti")
-        if k == 0:
-            shared = drawn.select("s", "node", F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).join(got, ["a", "b"]).select("s", "node", F.col("inter").alias("o"))
-            rest = rest.drop("o").join(shared, ["s", "node"])
-        rest = rest.drop("minor").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sums = rest.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c"))
-        cells = sums.groupBy("s").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        cells = cells.select("s", F.col("main.root").alias("main"), ((F.col("m") - F.col("main.c")) * F.col("m")).alias("work"))
-        rest = cut(rest.join(cells, "s").withColumn("minor", F.col("root") != F.col("main")))
-        now = rest if k == ROUNDS - 1 else rest.where(f"work <= {CELL_WORK}")
-        x = now.where("minor").select("s", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("o").alias("oa"), (F.col("have") - F.col("o")).alias("ea"))
-        y = now.select("s", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("o").alias("ob"), (F.col("have") - F.col("o")).alias("eb"), F.col("minor").alias("mb"))
-        most = F.least("oa", "ob") + F.least("ea", "eb")
-        fit = (F.col("ra") != F.col("rb")) & (~F.col("mb") | (F.col("a") > F.col("b"))) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
-        pairs = x.join(y, "s").where(fit).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = cut(compared(pairs, sets).where(f"100 * inter >= {percent} * total").select("a", "b"))
-        links = links.unionByName(more)
-        active = rest.where(f"work > {CELL_WORK}").select("s", "node", "n", "have", "deg", "o", "minor")
-        if k == ROUNDS - 1:
-            break
+    pivots = offers.groupBy("s").agg(F.max(F.struct("deg", F.xxhash64("node").alias("h"), "node"))["node"].alias("p"))
+    offered = offers.join(pivots, "s").where("node <> p").select("node", "p").distinct()
+    itself = pivots.select(F.col("p").alias("node")).distinct().join(sets.select("node", "n"), "node").select("node", F.col("node").alias("p"), "n", F.col("n").alias("pn"), F.col("n").alias("inter"))
+    near = cut(measured(offered, sets).unionByName(itself))
+    own = cut(near.groupBy("node").agg(F.max(F.struct((F.col("inter") / (F.col("n") + F.col("pn") - F.col("inter"))).alias("likeness"), F.xxhash64("p").alias("h"), "p"))["p"].alias("own")))
+    belong = offers.join(own, "node").select("s", "own").distinct()
+    kinds = belong.groupBy("s").agg(F.bit_xor(F.xxhash64("own")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1").select("s", F.xxhash64("x", "c").alias("kind"))
+    there = belong.join(kinds, "s").select("kind", F.col("own").alias("p")).distinct()
+    visits = offers.join(kinds, "s").select("node", "kind").distinct().join(there, "kind").select("node", "p").distinct()
+    more = cut(measured(visits.join(near, ["node", "p"], "left_anti"), sets))
+    every = near.unionByName(more)
+    rows = every.withColumn("ring", _ring(percent)).join(own, "node")
+    reach = rows.where("own = p").groupBy("p").agg(F.max("ring").alias("reach"))
+    have = offers.groupBy("node").agg(F.first("have").alias("have"))
+    rows = rows.join(reach, "p").where("ring <= reach + 1").join(have, "node")
+    return rows.select(F.col("p").alias("region"), "node", "n", "have", "own", F.col("inter").alias("o"), "ring"), _linked(every, percent)
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows of regions with two components or more, with root, minor (not of the main component), work (pairs to look at) and parts."""
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sums = rows.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"))
+    facts = sums.groupBy("region").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    facts = facts.select("region", F.col("main.root").alias("main"), ((F.col("m") - F.col("main.c")) * F.col("m")).alias("work"), F.ceil(F.col("m") / DEALT).cast("int").alias("parts"))
+    return cut(rows.join(facts, "region").withColumn("minor", F.col("root") != F.col("main")).drop("main"))
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, p) of sets in one region that may be links and aren't connected. rows: of _rooted().
+
+    Two sets share at most the lesser of what each has in common with the pivot and the lesser of what each shares with anyone outside of it.
+    """
+    rest = F.greatest(F.col("have") - F.col("o"), F.lit(0))
+    x = rows.where("minor").select("region", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("o").alias("oa"), rest.alias("ea"), F.col("own").alias("wa"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "ring")
+    x = x.withColumn("ring", F.explode(F.sequence(F.col("ring") - 1, F.col("ring") + 1)))
+    y = rows.select("region", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("o").alias("ob"), rest.alias("eb"), F.col("own").alias("wb"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "ring", F.col("minor").alias("mb"))
+    most = F.least("oa", "ob") + F.least("ea", "eb")
+    once = F.col("region") == F.least("wa", "wb")  # linked sets visit each other's regions: one of the two is enough
+    fit = (F.col("ra") != F.col("rb")) & (~F.col("mb") | (F.col("a") > F.col("b"))) & once & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
+    return x.join(y, ["region", "ring", "part"]).where(fit).select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("p")).distinct()
+
+
+def divided(rows: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Smaller regions of the rows of large ones, and the links to their pivots.
+
+    Pivots are drawn among the sets that aren't connected to the main component. Each set of the region goes to the nearest one and is
+    copied to the others whose ring is at most two rings farther out. A pivot, compared with all sets of the region, is done with.
+    """
+    drawn = rows.where("minor").groupBy("region", F.pmod(F.xxhash64("node", F.lit(level)), F.lit(PIVOTS)).alias("b")).agg(F.min(F.struct(F.xxhash64("node", F.lit(level + 100)).alias("h"), "node"))["node"].alias("p"))
+    pairs = rows.select("region", "node", "n", "have").join(drawn.select("region", "p"), "region")
+    got = cut(measured(pairs.where("node <> p").select("node", "p").distinct(), sets))
+    near = pairs.join(got.withColumn("ring", _ring(percent)).select("node", "p", "inter", "ring"), ["node", "p"], "left")
+    near = near.withColumns({"o": F.coalesce("inter", "n"), "ring": F.coalesce("ring", F.lit(0)), "region": F.xxhash64("region", "p"), "whole": F.col("region")})
+    nearest = near.groupBy("whole", "node").agg(F.min(F.struct("ring", "region")).alias("own"), F.max(F.col("node") == F.col("p")).alias("done"))
+    near = near.join(nearest.where(~F.col("done")), ["whole", "node"]).where(F.col("ring") <= F.col("own.ring") + 2)
+    return near.select("region", "node", "n", "have", F.col("own.region").alias("own"), "o", "ring"), _linked(got, percent)
+
+
+def links_in(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) of nodes that connect all that the links of the cells' sets connect; None if there are no cells. found: s, node, have (how many shingles it shares with anyone)."""
+    offers = cut(found.join(found.groupBy("node").agg(F.count(F.lit(1)).alias("deg")), "node"))
+    if percent >= 100 or offers.limit(1).count() == 0:  # the sets differ
+        return None
+    rows, links = regions(offers, sets, percent)
+    for level in range(LEVELS + 1):
+        rows = _rooted(rows, components(links))
+        last = level == LEVELS
+        links = links.unionByName(cut(_linked(measured(candidates(rows if last else rows.where(f"work <= {WORK}"), percent), sets), percent)))
+        rows = rows.where(f"work > {WORK}")
+        if last or rows.limit(1).count() == 0:
+            return links
+        rows, new = divided(rows, sets, percent, level)
+        links = links.unionByName(new)
     return links
 
 
@@ -324,21 +379,18 @@ def jaccard(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     found = _live(cells(some.select("node", "n", F.col("n").alias("counted"), F.lit(None).cast("array<bigint>").alias("more")), again, parts, percent))
     discard(first)
     wanted = cut(found.select("node").distinct().join(nodes.select("node", "id", "n"), "node"))
-    keep = id_filter(wanted, "id")
+    keep = id_filter(wanted.select(F.xxhash64("id").alias("key")), "key")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for pdf in batches:
-            pdf = pdf[keep(pdf["id"].to_numpy())]
+            pdf = pdf[keep(pdf["key"].to_numpy())]
             if not len(pdf):
                 continue
             sets = [shingles(t, k) for t in pdf["text"]]
             # rows that share an id may have other texts, so sets are known by their digests
-            yield pd.DataFrame({"node": [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets], "set": [s.view(np.int64) for s in sets]})
+            yield pd.DataFrame({"node": pd.array([node_of(s) for s in sets], "Int64"), "set": [s.view(np.int64) for s in sets]})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    all_sets = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(sets_of, "node long, set array<long>")
+    all_sets = df.select(F.xxhash64(F.col(id_col)).alias("key"), F.col(text).alias("text")).mapInPandas(sets_of, "node long, set array<long>")
     sets = cut(all_sets.join(wanted, "node").where(F.size("set") == F.col("n")).select("node", "n", "set").dropDuplicates(["node"]))
     links = links_in(found, sets, percent)
     least = nodes.select("node", F.col("id").alias("least"))
@@ -347,7 +399,7 @@ def jaccard(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
         groups = roots.join(least, "node").groupBy("r").agg(F.min("least").alias("component"))
         least = least.join(roots.join(groups, "r").select("node", "component"), "node", "left").select("node", F.coalesce("component", "least").alias("least"))
     out = info.select("id", "n", "node").join(least, "node", "left")
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").cast(kind).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
