@@ -5,8 +5,8 @@
    first one, and it is copied to the next ones as far as a linked set may belong there: two sets of similarity s or more share one of
    the first |x| - ceil(s |x|) + 1 shingles of each. A set whose first shingles are all its own has no link and no cell. This is done with a part of
    the hash range first, over all sets, and with all shingles of the sets that it leaves.
-2. Regions. Each cell offers a set of it as a pivot, and each set belongs to the region of the nearest pivot that its cells offer (Voronoi). Sets at the boundary
-   are copied: a set visits the regions of all sets in its cells, unless the triangle inequality says that it is too far from the pivot to have
+2. Regions. Each cell offers a set of it as a pivot; those that aren't connected to a better one stay. Each set belongs to the region of a pivot nearby (Voronoi). Sets at the
+   boundary are copied: a set visits the regions of all sets in its cells, unless the triangle inequality says that it is too far from the pivot to have
    a link there. Sets within reach of a pivot are linked to it.
 3. Rings. Inside a region, sets are in rings by their distance from the pivot, each as wide as a link may be long; by the
    triangle inequality linked sets are in the same ring or in neighbouring ones. Those that aren't connected yet are compared, unless what they share with
@@ -35,7 +35,7 @@ BOUND = np.uint64(int(COUNTED * 2**64))
 #: Entries that one task sorts; pairs with one pivot, or rows of a region, that go to one place.
 ENTRIES, DEALT = 1_500_000, 500
 #: Pairs of rows of a region from which it is divided; pivots that divide it; how often (beyond that its rows are compared in blocks of DEALT).
-WORK, PIVOTS, LEVELS = 250_000, 8, 4
+WORK, PIVOTS, LEVELS = 2_000_000, 8, 4
 #: Links that one task joins.
 ONE_TASK = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -270,26 +270,32 @@ def regions(offers: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
 
     Rows: region (its pivot), node, n, have, own (the region that the set belongs to), o (what it shares with the pivot), ring.
 
-    The pivot of a cell is the set of most cells, the text that others are edited from. Linked sets share a cell, so each of them visits the
+    Each cell offers the set of most cells, the text that others are edited from. Of sets that links to those connect, the one with most links stays
+    a pivot and has them all in its region; other sets follow the nearest one that they were offered. Linked sets share a cell, so each of them visits the
     region of the other if it visits those of all sets in its cells. Cells whose sets belong to the same regions are of one kind; sets
     are joined with kinds of cells, not with each cell.
     """
     pivots = offers.groupBy("s").agg(F.max(F.struct("deg", F.xxhash64("node").alias("h"), "node"))["node"].alias("p"))
-    offered = offers.join(pivots, "s").where("node <> p").select("node", "p").distinct()
-    itself = pivots.select(F.col("p").alias("node")).distinct().join(sets.select("node", "n"), "node").select("node", F.col("node").alias("p"), "n", F.col("n").alias("pn"), F.col("n").alias("inter"))
-    near = cut(measured(offered, sets).unionByName(itself))
-    own = cut(near.groupBy("node").agg(F.max(F.struct((F.col("inter") / (F.col("n") + F.col("pn") - F.col("inter"))).alias("likeness"), F.xxhash64("p").alias("h"), "p"))["p"].alias("own")))
+    near = cut(measured(offers.join(pivots, "s").where("node <> p").select("node", "p").distinct(), sets))
+    links = _linked(near, percent)
+    roots = components(links)
+    rank = offers.groupBy("node").agg(F.first("deg").alias("deg"), F.first("have").alias("have")).join(links.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("linked")), "node", "left")
+    rank = cut(rank.join(roots, "node", "left").withColumn("rank", F.struct(F.coalesce("linked", F.lit(0)).alias("linked"), "deg", F.xxhash64("node").alias("h"), "node")))
+    leaders = rank.where("root IS NOT NULL").groupBy("root").agg(F.max("rank")["node"].alias("leader"))
+    nearest = near.groupBy("node").agg(F.max(F.struct((F.col("inter") / (F.col("n") + F.col("pn") - F.col("inter"))).alias("likeness"), F.xxhash64("p").alias("h"), "p"))["p"].alias("nearest"))
+    up = cut(rank.join(leaders, "root", "left").join(nearest, "node", "left").select("node", F.coalesce("leader", "nearest", "node").alias("own")))
+    own = cut(up.join(up.select(F.col("node").alias("own"), F.col("own").alias("next")), "own").select("node", F.col("next").alias("own")))
     belong = offers.join(own, "node").select("s", "own").distinct()
-    kinds = belong.groupBy("s").agg(F.bit_xor(F.xxhash64("own")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1").select("s", F.xxhash64("x", "c").alias("kind"))
+    kinds = belong.groupBy("s").agg(F.bit_xor(F.xxhash64("own")).alias("x"), F.count(F.lit(1)).alias("c")).select("s", F.xxhash64("x", "c").alias("kind"))
     there = belong.join(kinds, "s").select("kind", F.col("own").alias("p")).distinct()
     visits = offers.join(kinds, "s").select("node", "kind").distinct().join(there, "kind").select("node", "p").distinct()
-    more = cut(measured(visits.join(near, ["node", "p"], "left_anti"), sets))
-    every = near.unionByName(more)
-    rows = every.withColumn("ring", _ring(percent)).join(own, "node")
-    reach = rows.where("own = p").groupBy("p").agg(F.max("ring").alias("reach"))
-    have = offers.groupBy("node").agg(F.first("have").alias("have"))
-    rows = rows.join(reach, "p").where("ring <= reach + 1").join(have, "node")
-    return rows.select(F.col("p").alias("region"), "node", "n", "have", "own", F.col("inter").alias("o"), "ring"), _linked(every, percent)
+    sizes = sets.select("node", "n")
+    itself = visits.where("node = p").join(sizes, "node").select("node", "p", "n", F.col("n").alias("pn"), F.col("n").alias("inter"))
+    every = near.join(visits, ["node", "p"], "left_semi").unionByName(measured(visits.where("node <> p").join(near, ["node", "p"], "left_anti"), sets)).unionByName(itself)
+    every = cut(every.withColumn("ring", _ring(percent)).join(own, "node").join(rank.select("node", "have"), "node"))
+    reach = every.where("own = p").groupBy("p").agg(F.max("ring").alias("reach"))
+    rows = every.join(reach, "p").where("ring <= reach + 1")
+    return rows.select(F.col("p").alias("region"), "node", "n", "have", "own", F.col("inter").alias("o"), "ring"), links.unionByName(_linked(every, percent))
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -316,20 +322,25 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     return x.join(y, ["region", "ring", "part"]).where(fit).select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("p")).distinct()
 
 
-def divided(rows: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
-    """Smaller regions of the rows of large ones, and the links to their pivots.
+def divided(rows: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the rows of large regions: the rows of smaller ones, the rows of those that can't be divided, the links found.
 
     Pivots are drawn among the sets that aren't connected to the main component. Each set of the region goes to the nearest one and is
     copied to the others whose ring is at most two rings farther out. A pivot, compared with all sets of the region, is done with.
+    Where the copies make more than half of the work anew, since all sets are far from all pivots, the region stays whole.
     """
     drawn = rows.where("minor").groupBy("region", F.pmod(F.xxhash64("node", F.lit(level)), F.lit(PIVOTS)).alias("b")).agg(F.min(F.struct(F.xxhash64("node", F.lit(level + 100)).alias("h"), "node"))["node"].alias("p"))
-    pairs = rows.select("region", "node", "n", "have").join(drawn.select("region", "p"), "region")
+    pairs = rows.select("region", "node", "n", "have", "minor").join(drawn.select("region", "p"), "region")
     got = cut(measured(pairs.where("node <> p").select("node", "p").distinct(), sets))
     near = pairs.join(got.withColumn("ring", _ring(percent)).select("node", "p", "inter", "ring"), ["node", "p"], "left")
-    near = near.withColumns({"o": F.coalesce("inter", "n"), "ring": F.coalesce("ring", F.lit(0)), "region": F.xxhash64("region", "p"), "whole": F.col("region")})
-    nearest = near.groupBy("whole", "node").agg(F.min(F.struct("ring", "region")).alias("own"), F.max(F.col("node") == F.col("p")).alias("done"))
-    near = near.join(nearest.where(~F.col("done")), ["whole", "node"]).where(F.col("ring") <= F.col("own.ring") + 2)
-    return near.select("region", "node", "n", "have", F.col("own.region").alias("own"), "o", "ring"), _linked(got, percent)
+    near = near.select("node", "n", "have", "minor", F.coalesce("inter", "n").alias("o"), F.coalesce("ring", F.lit(0)).alias("ring"), (F.col("node") == F.col("p")).alias("pivot"), F.col("region").alias("whole"), F.xxhash64("region", "p").alias("region"))
+    nearest = near.groupBy("whole", "node").agg(F.min(F.struct("ring", "region")).alias("own"), F.max("pivot").alias("done"))
+    near = cut(near.join(nearest.where("NOT done"), ["whole", "node"]).where("ring <= own.ring + 2").select("whole", "region", "node", "n", "have", "minor", F.col("own.region").alias("own"), "o", "ring"))
+    each = near.groupBy("whole", "region").agg((F.sum(F.col("minor").cast("long")) * F.count(F.lit(1))).alias("work"))
+    before = rows.groupBy("region").agg(F.max("work").alias("before")).withColumnRenamed("region", "whole")
+    good = cut(each.groupBy("whole").agg(F.sum("work").alias("work")).join(before, "whole").where("2 * work <= before").select("whole"))
+    stay = rows.join(good.withColumnRenamed("whole", "region"), "region", "left_anti")
+    return near.join(good, "whole", "left_semi").drop("whole", "minor"), stay, _linked(got, percent)
 
 
 def links_in(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
@@ -340,13 +351,14 @@ def links_in(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
     rows, links = regions(offers, sets, percent)
     for level in range(LEVELS + 1):
         rows = _rooted(rows, components(links))
-        last = level == LEVELS
-        links = links.unionByName(cut(_linked(measured(candidates(rows if last else rows.where(f"work <= {WORK}"), percent), sets), percent)))
-        rows = rows.where(f"work > {WORK}")
-        if last or rows.limit(1).count() == 0:
-            return links
-        rows, new = divided(rows, sets, percent, level)
-        links = links.unionByName(new)
+        now, large = rows.where(f"work <= {WORK}"), rows.where(f"work > {WORK}")
+        if again := level < LEVELS and large.limit(1).count() > 0:
+            large, stay, new = divided(large, sets, percent, level)
+            now, links = now.unionByName(stay), links.unionByName(new)
+        links = links.unionByName(cut(_linked(measured(candidates(now if again else rows, percent), sets), percent)))
+        if not again:
+            break
+        rows = large
     return links
 
 
