@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,53 +33,55 @@ RULES: tuple[tuple[str, str, str, int | None, int | None], ...] = (
 )
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-PRE = "__dq_"
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) as one expression that computes value once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _has_word(line: Column) -> Column:
     return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
-def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the counts that the rules read, under names that start with __dq_.
+def _repeated(hashes: Column) -> Column:
+    """The words in three-word windows found twice or more.
 
-    n_repeat_words, the words in three-word windows found twice or more: hashes of the windows are
-    sorted with their places, equal neighbours give the places of repeated windows, and sorted
+    Hashes of the windows are sorted with their places, equal neighbours give the places of repeated windows, and sorted
     places give the words covered. All of it stays inside the row; no rows are exploded.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    c = lambda name: F.col(PRE + name)
-    lines = F.filter(F.split(t, "\n"), _has_word)
-    count = lambda arr, test: F.size(F.filter(arr, test)).cast("long")
-    without = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    out = df.withColumns({PRE + "words": words(F.col(text)), PRE + "lines": lines})
-    out = out.withColumns({
-        PRE + "n_words": F.size(c("words")).cast("long"),
-        PRE + "word_chars": F.length(F.translate(t, SPACE_CHARS, "")).cast("long"),
-        PRE + "n_symbols": without(SYMBOLS).cast("long"),
-        PRE + "n_bangs": without("!").cast("long"),
-        PRE + "n_stop_words": count(c("words"), lambda w: F.lower(w).isin(*STOP_WORDS)),
-        PRE + "n_lines": F.size(c("lines")).cast("long"),
-        PRE + "n_dup_lines": (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long"),
-        PRE + "n_bullet_lines": count(c("lines"), lambda x: x.rlike(f"^{SPACE}*[-*•]")),
-        PRE + "n_ellipsis_lines": count(c("lines"), lambda x: x.rlike(f"(\\.\\.\\.|…){SPACE}*$")),
-        PRE + "hashes": F.transform(c("words"), lambda w: F.xxhash64(w)),
-    })
-    heads = F.slice(c("hashes"), 1, F.greatest(F.size(c("hashes")) - 2, F.lit(0)))
-    out = out.withColumn(PRE + "windows", F.sort_array(F.transform(heads, lambda x, i: F.struct(F.xxhash64(x, F.get(c("hashes"), i + 1), F.get(c("hashes"), i + 2)).alias("k"), i.alias("i")))))
-    same = lambda x, j: F.coalesce(x["k"] == F.get(c("windows"), j)["k"], F.lit(False))
-    out = out.withColumn(PRE + "places", F.sort_array(F.transform(F.filter(c("windows"), lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"])))
+    windows = lambda h: F.sort_array(F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).alias("k"), i.alias("i"))))
+    same = lambda w, x, j: F.coalesce(x["k"] == F.get(w, j)["k"], F.lit(False))
+    places = lambda w: F.sort_array(F.transform(F.filter(w, lambda x, i: same(w, x, i - 1) | same(w, x, i + 1)), lambda x: x["i"]))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     step = lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"))
-    out = out.withColumn(PRE + "n_repeat_words", F.aggregate(c("places"), start, step)["n"])
-    return out.drop(*[PRE + x for x in ("words", "lines", "hashes", "windows", "places")])
+    return F.aggregate(_once(_once(hashes, windows), places), start, step)["n"]
+
+
+def measures(text: Column) -> Column:
+    """A struct of the counts that the rules read, as one expression in which the text is split once."""
+    count = lambda arr, test: F.size(F.filter(arr, test)).cast("long")
+
+    def counted(s: Column) -> Column:
+        t, ws, ls = s["t"], s["words"], s["lines"]
+        without = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("long")
+        return F.struct(
+            F.size(ws).cast("long").alias("n_words"), F.length(F.translate(t, SPACE_CHARS, "")).cast("long").alias("word_chars"),
+            without(SYMBOLS).alias("n_symbols"), without("!").alias("n_bangs"), count(ws, lambda w: F.lower(w).isin(*STOP_WORDS)).alias("n_stop_words"),
+            F.size(ls).cast("long").alias("n_lines"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+            count(ls, lambda x: x.rlike(f"^{SPACE}*[-*•]")).alias("n_bullet_lines"), count(ls, lambda x: x.rlike(f"(\\.\\.\\.|…){SPACE}*$")).alias("n_ellipsis_lines"),
+            _repeated(F.transform(ws, lambda w: F.xxhash64(w))).alias("n_repeat_words"),
+        )
 
+    t = F.coalesce(text, F.lit(""))
+    return _once(F.struct(t.alias("t"), words(text).alias("words"), F.filter(F.split(t, "\n"), _has_word).alias("lines")), counted)
 
-def verdicts(rules: Sequence[tuple] = RULES) -> dict[str, Column]:
-    """One boolean column for each rule (true: it is met), all integer arithmetic."""
+
+def verdicts(m: Column, rules: Sequence[tuple] = RULES) -> dict[str, Column]:
+    """One boolean for each rule (true: it is met) from a struct of counts, all integer arithmetic."""
     out = {}
     for name, top, bottom, least, most in rules:
-        a, b, ok = 100 * F.col(PRE + top), F.col(PRE + bottom), F.lit(True)
+        a, b, ok = 100 * m[top], m[bottom], F.lit(True)
         if least is not None:
             ok = ok & (a >= least * b)
         if most is not None:
@@ -88,14 +90,20 @@ def verdicts(rules: Sequence[tuple] = RULES) -> dict[str, Column]:
     return out
 
 
-def judged(df: DataFrame, text: str = "text", rules: Sequence[tuple] = RULES) -> DataFrame:
-    """df with the measures, __dq_base_failed and __dq_kept."""
-    out = measured(df, text)
-    failed = (F.col(PRE + "n_words") < 50) | (100 * F.col(PRE + "n_repeat_words") > 50 * F.col(PRE + "n_words"))
-    kept = ~F.col(PRE + "base_failed")
-    for ok in verdicts(rules).values():
-        kept = kept & ok
-    return out.withColumn(PRE + "base_failed", failed).withColumn(PRE + "kept", kept)
+def judged(text: Column, rules: Sequence[tuple] = RULES) -> Column:
+    """A struct of MEASURES, base_failed and kept.
+
+    It is one expression that grows with the number of rules only: a filter on its result that is pushed below it has one copy of it.
+    """
+
+    def judge(m: Column) -> Column:
+        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        kept = ~failed
+        for ok in verdicts(m, rules).values():
+            kept = kept & ok
+        return F.struct(*[m[x].alias(x) for x in MEASURES], failed.alias("base_failed"), kept.alias("kept"))
+
+    return _once(measures(text), judge)
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules: Sequence[tuple] = RULES) -> DataFrame:
@@ -104,18 +112,13 @@ def quality(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules: Se
     A null text has no words, as an empty one: all counts 0, base_failed. Repeated rows get a row each.
     Other columns of df are not read, so their names can't clash. An empty table gives an empty result.
     """
-    out = judged(df.select(F.col(id_col), F.col(text)), text, rules)
-    return out.select(F.col(id_col), *[F.col(PRE + m).alias(m) for m in (*MEASURES, "base_failed", "kept")])
+    out = df.select(F.col(id_col).alias("id"), judged(F.col(text), rules).alias("judged"))
+    return out.select(F.col("id").alias(id_col), *[F.col("judged")[m].alias(m) for m in (*MEASURES, "base_failed", "kept")])
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: Sequence[tuple] = RULES) -> DataFrame:
-    """The rows of df that are kept, with df's columns.
-
-    The row's number, which isn't deterministic, keeps the filter above the measures: pushed below them, it would repeat each
-    measure's expression wherever a rule uses it.
-    """
-    out = judged(df, text, rules).withColumn(PRE + "row", F.monotonically_increasing_id())
-    return out.where(F.col(PRE + "kept") & (F.col(PRE + "row") >= 0)).select(*df.columns)
+    """The rows of df that are kept, with df's columns; rows with null or empty texts go, repeated rows stay or go together."""
+    return df.where(judged(F.col(text), rules)["kept"])
 
 
 def sql() -> str:
