@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import WordIds
+
 # The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens of a window, and of its repeated history at most.
@@ -41,16 +43,30 @@ def formatted_turn(role: str, text: str) -> str:
     return f"{START}{escape_role(role)}\n{escape(text)}{END}\n"
 
 
-def count_tokens(text: str) -> int:
-    return len(TOKEN.findall(text))
+class TokenCounts:
+    """How many tokens a public tokenizer makes of a text; without the path of one, words and marks are counted. Loaded once in each process."""
+
+    loaded: dict[str, WordIds] = {}
+
+    def __init__(self, path: str | None = None):
+        self.path = path
+
+    def __call__(self, text: str) -> int:
+        if self.path is None:
+            return len(TOKEN.findall(text))
+        ids = self.loaded.get(self.path)
+        if ids is None:
+            ids = self.loaded[self.path] = WordIds(self.path)
+        return len(ids.packed(text)) // 4
 
 
 class Windows:
     """Windows of one conversation as its turns come, one after the other.
 
     A window has the system turn (the first turn, if that is its role), as many of the turns before as fit into the history's
-    budget, all repeated without a loss, and then new turns up to the budget. A turn that is longer than that is in a window
-    of its own (with the system turn), whole. Running sums of tokens pick the turns.
+    budget, all repeated without a loss, and then new turns up to the budget. Where the next turn needs the room, the oldest turns of the history go. A turn
+    that doesn't fit beside the system turn alone is in a window of its own with that one, whole: only such a window passes the budget. Running sums of
+    tokens pick the turns.
     """
 
     def __init__(self, budget: int, history: int, tokens: Callable[[str], int]):
@@ -68,6 +84,8 @@ class Windows:
         self.count += 1
         if self.new and self.used + n > self.budget:
             yield self.window()
+        while self.past and not self.new and self.used + n > self.budget:
+            self.used -= self.past.pop(0)[2]
         self.new.append((role, text, n))
         self.used += n
         if first and role == "system":
@@ -106,7 +124,7 @@ class Windows:
             yield self.window()
 
 
-def windows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[str], int] = count_tokens) -> DataFrame:
+def windows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[str], int] = TokenCounts()) -> DataFrame:
     """Per window: conv, window (from 0), text (formatted), repeated (turns at its start that were in windows before), loss_starts, loss_lengths (code points).
 
     Rows of a conversation are sorted on the executors and streamed, so a long one needs no more memory than a window. Null
@@ -114,7 +132,7 @@ def windows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     mask of one window exactly. Windows come in order within a partition. Other columns are not read.
     """
     kind = df.schema[conv].dataType.simpleString()
-    rows = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.col(conv).cast("string").alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartition("conv").sortWithinPartitions(F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,15 +159,18 @@ def windows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
         if out:
             yield pd.DataFrame(out, columns=columns)
 
-    return rows.select("conv", "role", "text").mapInPandas(run, f"conv {kind}, window long, text string, repeated long, loss_starts array<long>, loss_lengths array<long>").withColumnRenamed("conv", conv)
+    return rows.select("conv", "role", "text").mapInPandas(run, "conv string, window long, text string, repeated long, loss_starts array<long>, loss_lengths array<long>").withColumn("conv", F.col("conv").cast(kind)).withColumnRenamed("conv", conv)
 
 
-def read_back(df: DataFrame, conv: str = "conv_id") -> DataFrame:
+def read_back(df: DataFrame, conv: str = "conv_id", in_order: bool = False) -> DataFrame:
     """Per conversation, from windows(): conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     The formatted texts are parsed by the template alone; turns that a window repeats are skipped. The digests are sums over a conversation in order, so its windows stay in one
-    stream; only hash states are kept.
+    stream; only hash states are kept. in_order: df comes straight from windows(), which gives each conversation's windows in one partition and in their order; else they
+    are dealt out and sorted here.
     """
+    if not in_order:
+        df = df.repartition(conv).sortWithinPartitions(F.col(conv).asc_nulls_first(), "window")
     kind = df.schema[conv].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,5 +202,5 @@ def read_back(df: DataFrame, conv: str = "conv_id") -> DataFrame:
         if state:
             yield pd.DataFrame([row()], columns=columns)
 
-    # in the partitions and the order of windows(): one stream for each conversation
-    return df.select(F.col(conv).alias("conv"), "text", "repeated", "loss_starts", "loss_lengths").mapInPandas(run, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("conv", conv)
+    out = df.select(F.col(conv).cast("string").alias("conv"), "text", "repeated", "loss_starts", "loss_lengths").mapInPandas(run, "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return out.withColumn("conv", F.col("conv").cast(kind)).withColumnRenamed("conv", conv)
