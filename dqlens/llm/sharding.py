@@ -27,14 +27,24 @@ def capacity_sql(sizes: str, shards: int) -> str:
 def cuts(sizes: DataFrame, shards: int) -> DataFrame:
     """One row: capacity, and starts: the first group of each shard. sizes: group, z, at most 2 ** GROUPS_BITS rows.
 
-    The sizes become one sorted array; binary search over capacities, each checked greedily, runs on it inside an expression.
+    The sizes become one sorted array; binary search over capacities, each checked greedily, runs on it inside an expression. Under the
+    capacity found, a greedy pass from the end gives the first place from which the rest fits into 1, 2, ... shards; a pass from the
+    start then ends each shard as near to an even part of what is left as those places and the capacity allow, so no slack gathers in the last one.
     """
     one = sizes.agg(F.sort_array(F.collect_list(F.struct("group", "z"))).alias("a")).where(F.size("a") > 0)
     one = one.withColumn("z", F.expr("transform(a, x -> x.z)"))
-    one = one.withColumn("capacity", F.expr(capacity_sql("z", shards)))
-    start = "struct(cast(array() AS array<bigint>) AS starts, cast(null AS bigint) AS fill)"
-    step = "(s, x) -> if(s.fill IS NULL OR s.fill + x.z > capacity, struct(concat(s.starts, array(cast(x.group AS bigint))) AS starts, x.z AS fill), struct(s.starts AS starts, s.fill + x.z AS fill))"
-    return one.select("capacity", F.expr(f"aggregate(a, {start}, {step}, s -> s.starts)").alias("starts"))
+    one = one.withColumn("capacity", F.expr(capacity_sql("z", shards))).withColumn("total", F.expr("aggregate(z, 0L, (s, x) -> s + x)"))
+    # firsts[m - 1]: the least index from which m shards hold the rest
+    back = "(s, x) -> if(s.fill + x > capacity, struct(concat(s.firsts, array(s.i)) AS firsts, s.i - 1 AS i, x AS fill), struct(s.firsts AS firsts, s.i - 1 AS i, s.fill + x AS fill))"
+    one = one.withColumn("firsts", F.expr(f"aggregate(reverse(z), struct(cast(array() AS array<int>) AS firsts, size(z) AS i, 0L AS fill), {back}, s -> concat(s.firsts, array(0)))"))
+    # k: shards begun; left: what comes from the current one's start on; m, those that may follow, hold the rest from get(firsts, m - 1) on
+    m = f"({shards} - s.k)"
+    even = f"(2 * s.fill + y.x.z) * ({m} + 1) > 2 * s.left AND {m} > 0 AND y.i >= coalesce(get(firsts, {m} - 1), 0)"
+    begin = "struct(concat(s.starts, array(cast(y.x.group AS bigint))) AS starts, s.k + 1 AS k, s.left - s.fill AS left, y.x.z AS fill)"
+    more = "struct(s.starts AS starts, s.k AS k, s.left AS left, s.fill + y.x.z AS fill)"
+    step = f"(s, y) -> if(s.k = 0 OR s.fill + y.x.z > capacity OR ({even}), {begin}, {more})"
+    start = "struct(cast(array() AS array<bigint>) AS starts, 0 AS k, total AS left, 0L AS fill)"
+    return one.select("capacity", F.expr(f"aggregate(transform(a, (x, i) -> struct(x AS x, i AS i)), {start}, {step}, s -> s.starts)").alias("starts"))
 
 
 def group_of(text: Column) -> Column:
@@ -49,7 +59,7 @@ def shard(df: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int
     (gapless from 0 in each shard), grown_shard (null: this law has none). Rows with equal texts share a group
     and so a shard; groups keep the order of their digests and are never split. A shard holds more than its
     even part only if a group is large: a text that fills a third of the corpus fills one shard. Repeated rows
-    keep a slot each. Null ids come first in their group. An empty table gives an empty result. Other columns
+    keep a slot each. Groups are coarser than equal texts: 65,536 of them by digest, so that sizes of groups are one bounded array; capacity is the least for those. Null ids come first in their group. An empty table gives an empty result. Other columns
     are not read. With fewer groups than shards, some shards stay empty.
     """
     t = F.col(text)
