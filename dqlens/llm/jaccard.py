@@ -424,3 +424,19 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     found = jaccard(keyed, "__key", text).distinct().join(keyed.select("__key", i.alias("__id")).distinct(), "__key")
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key")).alias("first"))
     return keyed.join(first.select("first.__key"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
+def sql(docs: str = "documents", k: int = WORDS, percent: int = SIMILARITY) -> str:
+    """jaccard() in DuckDB's SQL, for ids without nulls: all pairs with a common shingle, then all reachable ids."""
+    return f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM {docs}),
+    s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i:i + {k} - 1], ' '))) END AS gs FROM w),
+    n AS MATERIALIZED (SELECT doc_id, len(gs) AS n FROM s),
+    g AS MATERIALIZED (SELECT doc_id, unnest(gs) AS g FROM s),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+    u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+    m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM n LEFT JOIN m ON m.a = doc_id"""

@@ -42,7 +42,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.windows(rows.unionByName(own)))
+    return chat.read_back(chat.windows(rows.unionByName(own), tokens=chat.TokenCounts(tokenizer_path())), in_order=True)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.sql()}
+    return {"op1_quality_rules": quality.sql(), "op3_ngram_jaccard": jaccard.sql(), "op8_url_filters": urls.sql()}
