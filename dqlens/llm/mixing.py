@@ -57,29 +57,41 @@ def permuted(sources: DataFrame, block: int, seed: int) -> DataFrame:
     return numbered(s, ["rank", "epoch"], ["h", "block"], F.struct("tail", _bucket(F.col("h"), F.col("blocks")).alias("b")), "place")
 
 
+def drawn(sources: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> DataFrame:
+    """rank, blocks, shard, n, offset: how many slots of each source each output shard draws, and how many the shards before it have.
+
+    Each slot that a source is to fill falls on a shard, all being alike, so the counts of the sources in a shard are multinomial, given that each
+    source's sum meets its target. (Free multinomial draws would let the sums miss the targets by chance, and pass the cap.)
+    """
+    s = sources.where("total > 0").select("rank", F.ceil(F.col("total") / block).cast("long").alias("blocks"), "epochs", F.ceil(F.col("left") / block).cast("long").alias("more"))
+    s = s.withColumn("slots", F.col("epochs") * F.col("blocks") + F.col("more")).where("slots > 0")
+    shards = sources.agg(F.greatest(F.ceil(F.sum("total") / (block * shard_blocks)), F.lit(1))).head()[0] or 1
+    s = s.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / ROWS_PER_TASK)))).repartition("rank", "part")
+    first = F.col("part") * ROWS_PER_TASK
+    s = s.withColumn("slot", F.explode(F.sequence(first, F.least(F.col("slots"), first + ROWS_PER_TASK) - 1)))
+    counts = s.groupBy("rank", "blocks", F.pmod(F.xxhash64("rank", "slot", F.lit(seed + 1)), F.lit(shards)).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    return numbered(counts, ["rank"], ["shard"], F.floor(F.col("shard") / ROWS_PER_TASK), "k", F.col("n"), "offset").drop("k")
+
+
 def slots(sources: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> DataFrame:
     """The mix as slots: shard, rank, epoch, block, words (those that it takes from the block's start).
 
-    A source's words are whole epochs and the first places of a last permutation. Each of its slots draws
-    an output shard, so the numbers of slots of the sources in the shards are multinomial, given that each source's sum
-    meets its target. (Free multinomial draws would let the sums miss the targets by chance, and pass the cap.)
+    The counts drawn by the shards are laid end to end: they give each shard its slots of a source. A source's slots are whole epochs
+    and the first places of a last one; a pseudorandom permutation of each epoch maps a slot's place to the block.
     """
-    p = permuted(sources, block, seed)
+    s = drawn(sources, block, shard_blocks, seed)
+    s = s.withColumn("slot", F.explode(F.sequence("offset", F.col("offset") + F.col("n") - 1)))
+    s = s.select("rank", F.floor(F.col("slot") / F.col("blocks")).alias("epoch"), F.pmod("slot", "blocks").alias("place"), "shard")
+    p = permuted(sources, block, seed).join(s.hint("merge"), ["rank", "epoch", "place"])
     want = F.when(F.col("epoch") < F.col("epochs"), F.col("total")).otherwise(F.col("left"))
     taken = F.least(F.lit(block), F.col("total") - F.col("block") * block, want - F.col("place") * block)
-    n = sources.agg(F.greatest(F.ceil(F.sum("total") / (block * shard_blocks)), F.lit(1))).head()[0] or 1
-    return p.withColumn("words", taken).where("words > 0").withColumn("shard", F.pmod(F.xxhash64("rank", "epoch", "place", F.lit(seed + 1)), F.lit(n)))
-
+    return p.select("shard", "rank", "epoch", "block", taken.alias("words"))
 
-def shard_counts(drawn: DataFrame) -> DataFrame:
-    """The drawn numbers of slots: shard, rank, slots."""
-    return drawn.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("slots"))
 
-
-def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = 0, whole: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents as they are packed, and the pieces that the mix takes of them.
 
-    Documents: id, src, digest (of the text), size, source_size, target, rank (of the source), row (number inside
+    Documents: id, src, digest (of the text), whole (a mark of the row, if given), size, source_size, target, rank (of the source), row (number inside
     it), start (words before it there). Pieces: rank, row, shard, epoch, block, from_word, n_words.
 
     A source's documents, in the order of hashed ids, are one run of words cut into blocks; slots pick blocks by
@@ -88,13 +100,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     once; all later steps work on narrow rows. An empty table gives empty results. Other columns are not read.
     """
     t = F.col(text)
-    sized = cut(df.select(F.col(id_col).alias("id"), F.col(source).alias("src"), n_words(t).alias("size"), F.xxhash64(t).alias("digest")))
+    sized = cut(df.select(F.col(id_col).alias("id"), F.col(source).alias("src"), n_words(t).alias("size"), F.xxhash64(t).alias("digest"), (F.lit(0).cast("long") if whole is None else whole).alias("whole")))
     totals = sized.groupBy(F.col("src").alias("source")).agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("rows"))
     sources = cut(targets(totals))
     docs = bounded(sized, sources.select(F.col("source").alias("src"), "rank", "total", "target", "rows"), ["src"])
     docs = docs.withColumn("h", F.xxhash64("id", "digest", F.lit(seed)))
-    docs = numbered(docs, ["rank"], ["h", "id", "digest", "size"], _bucket(F.col("h"), F.col("rows")), "row", F.col("size"), "start")
-    docs = cut(docs.select("id", "src", "digest", "size", F.col("total").alias("source_size"), "target", "rank", "row", "start"))
+    docs = numbered(docs, ["rank"], ["h", "id", "digest", "whole"], _bucket(F.col("h"), F.col("rows")), "row", F.col("size"), "start")
+    docs = cut(docs.select("id", "src", "digest", "whole", "size", F.col("total").alias("source_size"), "target", "rank", "row", "start"))
     end = F.col("start") + F.col("size")
     parts = docs.where("size > 0").select("rank", "row", "start", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
     first = F.greatest(F.col("start"), F.col("block") * block)
@@ -104,26 +116,30 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
 
 
 def taken(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """Per row: id, size, source_size, target, taken (words that the mix takes of it, repeats counted). See mix()."""
+    """Per row: id, size, source_size, target, taken (words that the mix takes of it, repeats counted), shards (output shards that got some of them). See mix()."""
     docs, pieces = mix(df, id_col, text, source, block, seed)
-    sums = pieces.groupBy("rank", "row").agg(F.sum("n_words").alias("taken"))
+    sums = pieces.groupBy("rank", "row").agg(F.sum("n_words").alias("taken"), F.size(F.collect_set("shard")).cast("long").alias("shards"))
     out = docs.join(sums, ["rank", "row"], "left")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    none = F.lit(0).cast("long")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("shards", none).alias("shards"))
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = 0) -> DataFrame:
     """The mix as rows with df's columns: a document comes once for each epoch that takes words of it.
 
     The text of such a row is the document's own where all its words are taken, else the runs of words taken, in their order with
-    their white space, put together. An n_chars column is counted anew. Rows that are equal in id, source and text are
-    interchangeable: their takes are joined to one of them.
+    their white space, put together. An n_chars column is counted anew. Rows that are equal in all columns (but maps) are interchangeable:
+    their takes are joined to one of them. An empty table gives an empty result; rows without words are in no mix.
     """
-    docs, pieces = mix(df, id_col, text, source, block, seed)
+    plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    # nulls leave the hash as it was, so they are hashed as well
+    whole = F.xxhash64(*plain, *[c.isNull() for c in plain])
+    docs, pieces = mix(df, id_col, text, source, block, seed, whole)
     spans = pieces.groupBy("rank", "row", "epoch").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("__spans"), F.sum("n_words").alias("__n"))
-    plan = spans.join(docs.select("rank", "row", "id", "src", "digest", "size"), ["rank", "row"]).select("id", "src", "digest", "size", "__spans", "__n")
-    key = [F.col(id_col).alias("__id"), F.col(source).alias("__src"), F.xxhash64(F.col(text)).alias("__digest")]
-    own = df.select(*key, F.struct(*df.columns).alias("__row")).groupBy("__id", "__src", "__digest").agg(F.first("__row").alias("__row"))
-    both = own.join(plan, F.col("__id").eqNullSafe(F.col("id")) & F.col("__src").eqNullSafe(F.col("src")) & (F.col("__digest") == F.col("digest")))
+    plan = spans.join(docs.select("rank", "row", "id", "src", "digest", "whole", "size"), ["rank", "row"]).select("id", "src", "digest", "whole", "size", "__spans", "__n")
+    key = [F.col(id_col).alias("__id"), F.col(source).alias("__src"), F.xxhash64(F.col(text)).alias("__digest"), whole.alias("__whole")]
+    own = df.select(*key, F.struct(*df.columns).alias("__row")).groupBy("__id", "__src", "__digest", "__whole").agg(F.first("__row").alias("__row"))
+    both = own.join(plan, F.col("__id").eqNullSafe(F.col("id")) & F.col("__src").eqNullSafe(F.col("src")) & (F.col("__digest") == F.col("digest")) & (F.col("__whole") == F.col("whole")))
     t = F.col(f"__row.`{text}`")
     tokens = F.regexp_extract_all(t, F.lit(f"[^\\x20\\x09-\\x0D]+{SPACE}*"), F.lit(0))
     cut_out = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(tokens, s["from_word"] + 1, s["n_words"]))), "")
