@@ -12,10 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that are read at most to fit the chain, in the order of their hashed ids; characters of their texts together.
-SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 16_000_000
+from .common import cut, discard
+
+#: Labelled rows that are read at most to fit the chain, in the order of their hashed ids.
+SAMPLE_ROWS = 8_000
 #: log2 of the number of hashed features; characters of the prefixes of words; folds; a score from which a row is toxic.
 BITS, PREFIXES, FOLDS, THRESHOLD = 20, (3, 4, 5, 6), 3, 0.5
+#: Toxic rows of the sample that have a feature, from which it may get a weight.
+LEAST_SEEN = 3
 #: Labelled rows of a category from which it gets a link of the chain.
 LEAST_POSITIVE = 5
 #: Words whose features are remembered.
@@ -94,7 +98,7 @@ def fit_linear(rows: Sequence[np.ndarray], extra: np.ndarray, y: np.ndarray, bit
     n_pos = max(1.0, float(y.sum()))
     n_neg = max(1.0, n - n_pos)
     odds = (pos / n_pos) / ((every - pos + 0.1) / n_neg)
-    used = np.flatnonzero((pos >= max(3, 0.04 * n_pos)) & (odds >= 10))
+    used = np.flatnonzero((pos >= max(LEAST_SEEN, 0.04 * n_pos)) & (odds >= 10))
     new = np.full(len(known), -1, np.int32)
     new[used] = np.arange(len(used))
     at = new[at]
@@ -115,15 +119,14 @@ def fit_linear(rows: Sequence[np.ndarray], extra: np.ndarray, y: np.ndarray, bit
 
 
 def fit(sample: pd.DataFrame, bits: int = BITS, folds: int = FOLDS) -> Chain:
-    """The chain from rows with id, text, lang and toxic.
+    """The chain from rows with id, features (or text), lang and toxic.
 
     The labels name toxic documents only, so the categories are toxicity in each language (sorted by name), and
     toxicity at all as the last. Each link's chances for the rows that it is fitted on come from models fitted
     on the other folds; later links are fitted with those.
     """
     cache: dict[str, tuple[int, ...]] = {}
-    rows = [features(t, cache, bits) for t in sample["text"]]
-    cache.clear()
+    rows = [np.asarray(x, np.int32) for x in sample["features"]] if "features" in sample else [features(t, cache, bits) for t in sample["text"]]
     y = sample["toxic"].fillna(0).to_numpy().astype(float)
     lang = sample["lang"].fillna("").to_numpy()
     names = [str(x) for x in sorted(set(lang)) if (y[lang == x]).sum() >= LEAST_POSITIVE]
@@ -144,24 +147,34 @@ def fit(sample: pd.DataFrame, bits: int = BITS, folds: int = FOLDS) -> Chain:
     return Chain(names, weights, bias, links)
 
 
-def sampled(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> pd.DataFrame:
-    """Labelled rows for fit(), whole texts: at most rows of them, those with the lowest hashes of their ids.
+def sampled(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, bits: int = BITS) -> pd.DataFrame:
+    """Labelled rows for fit(): at most rows of them, those with the lowest hashes of their ids; id, lang, toxic, features.
 
-    In the order of those hashes, texts that SAMPLE_CHARS characters have no more room for are left out, and only those.
+    Whole texts become features on the executors. Only features that LEAST_SEEN toxic rows have reach the driver, as the others get no weight.
+    Rows without id or label are left out; of several labels of an id, a toxic one is enough. Without a toxic row there is a warning.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
     chosen = chosen.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(rows)
+
+    def made(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache: dict[str, tuple[int, ...]] = {}
+        for s in texts:
+            yield pd.Series([features(t, cache, bits) for t in s])
+
     got = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(chosen), "id")
-    got = got.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    out = got.select("id", "text", "lang", "toxic", "h").toPandas().sort_values(["h", "id", "lang", "text"], na_position="first")
-    room, fits = SAMPLE_CHARS, []
-    for n in out["text"].fillna("").str.len():
-        fits.append(n <= room)
-        room -= n if n <= room else 0
-    out = out[np.array(fits, bool)].drop(columns="h").sort_values(["id", "lang", "text"], na_position="first").reset_index(drop=True)
+    got = cut(got.select("id", "lang", "toxic", "h", F.xxhash64("text").alias("t"), F.pandas_udf(made, "array<int>")("text").alias("features")))
+    seen = got.where("toxic = 1").select(F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {LEAST_SEEN}").toPandas()  # a row a feature
+    known = df.sparkSession.sparkContext.broadcast(np.sort(seen["f"].to_numpy(np.int32)))
+
+    def only(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in lists:
+            yield pd.Series([np.intersect1d(np.asarray(x, np.int32), known.value, assume_unique=True) for x in s])
+
+    out = got.select("id", "lang", "toxic", "t", F.pandas_udf(only, "array<int>")("features").alias("features")).toPandas()
+    discard(got)
     if not out["toxic"].sum():
         warnings.warn("no toxic row among the labelled rows to fit on: no text will be found toxic", stacklevel=2)
-    return out
+    return out.sort_values(["id", "lang", "t"], na_position="first").drop(columns="t").reset_index(drop=True)
 
 
 def _shared(df: DataFrame, chain: Chain):
@@ -188,21 +201,22 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text: str = "text
     """
     scorer, names = _shared(df, chain), chain.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scores = scorer()
-        for pdf in batches:
-            p = scores(pdf["text"])
-            toxic = (p[:, -1] >= threshold) & (pdf["text"].fillna("").str.len().to_numpy() > 0)
+        for s in texts:
+            p = scores(s)
+            toxic = (p[:, -1] >= threshold) & (s.fillna("").str.len().to_numpy() > 0)
             best = p[:, :-1].argmax(1) if len(names) > 1 and len(p) else np.zeros(len(p), int)
-            yield pd.DataFrame({"id": pdf["id"], "toxic": toxic, "score": p[:, -1], "category": [names[i] if t else None for i, t in zip(best, toxic, strict=True)], "chances": [dict(zip(names, map(float, r), strict=True)) for r in p]})
+            yield pd.DataFrame({"toxic": toxic, "score": p[:, -1], "category": [names[i] if t else None for i, t in zip(best, toxic, strict=True)], "chances": list(p)})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, toxic boolean, score double, category string, chances map<string,double>")
-    return out.withColumnRenamed("id", id_col)
+    made = F.pandas_udf(run, "toxic boolean, score double, category string, chances array<double>")
+    out = df.select(F.col(id_col).alias("id"), made(F.col(text)).alias("made")).select("id", "made.*")
+    chances = F.map_from_arrays(F.array(*[F.lit(x) for x in names]), "chances")
+    return out.select(F.col("id").alias(id_col), "toxic", "score", "category", chances.alias("chances"))
 
 
 def keep_clean(df: DataFrame, chain: Chain, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df that aren't toxic, with df's columns."""
+    """The rows of df that aren't toxic, with df's columns; null and empty texts stay."""
     scorer = _shared(df, chain)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
