@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 from .sketch import id_filter
 
-#: Rows of a range that are read in order together, ranges at most.
-ROWS_PER_RANGE, MOST_RANGES = 5_000, 4_096
+#: Rows of a range that are read in order together, and ranges at most: a row for each reaches the driver. At 100 TB a task streams 1 GB.
+ROWS_PER_RANGE, MOST_RANGES = 5_000, 100_000
 
 
 def canonical(text: str | None) -> str:
@@ -43,17 +44,26 @@ def likeness(a: str, b: str) -> float:
     return float(a == b)
 
 
+def order_key(key: Column, kind: str) -> Column:
+    """A whole number that doesn't fall as ids rise: of numbers their floor, of strings their first seven bytes; else one for all."""
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    if re.match("tinyint|smallint|int|bigint|float|double|decimal", kind):
+        return F.floor(key).cast("long")
+    return F.when(key.isNotNull(), F.lit(0).cast("long"))
+
+
 def over_neighbours(df: DataFrame, id_col: str, text: str, make: Callable[[object, str, str], tuple], schema: str) -> DataFrame:
     """make(id, text, text of the next row) for each row, in ascending order of ids; the first comes after the last. schema: of what make returns.
 
-    Rows with equal ids are ordered by a hash of their texts; null ids come first. Ranges of ids are cut at quantiles; each gets its rows and a copy of the
+    Rows with equal ids are ordered by a hash of their texts; null ids come first. Ids may be numbers or strings. Ranges of ids are cut at quantiles; each gets its rows and a copy of the
     first row of the next range. So texts move once, and a task holds one row and the one before.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("o", order_key(F.col("id"), kind))
     n = rows.select("id").count()
     ranges = int(min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // ROWS_PER_RANGE + 1)))
-    cuts = [] if n == 0 else sorted({int(x) for x in rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 100_000)).head()[0] or []}) if ranges > 1 else []
+    cuts = [] if n == 0 else sorted({int(x) for x in rows.agg(F.percentile_approx("o", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).head()[0] or []}) if ranges > 1 else []
     bounds = np.array(cuts, np.int64)
 
     @F.pandas_udf("int")
@@ -62,13 +72,13 @@ def over_neighbours(df: DataFrame, id_col: str, text: str, make: Callable[[objec
         return pd.Series(np.searchsorted(bounds, known, "right").astype(np.int32))
 
     # one row a range: its least id, and among equal ones the least hash
-    heads = rows.select("id", "h").withColumn("r", place("id")).groupBy("r").agg(F.min(F.struct("id", "h")).alias("m")).select("r", "m.*").orderBy("r").collect()  # at most MOST_RANGES rows
+    heads = rows.select("id", "h", "o").withColumn("r", place("o")).groupBy("r").agg(F.min(F.struct("id", "h")).alias("m")).select("r", "m.*").orderBy("r").collect()  # at most MOST_RANGES rows
     if not heads:
         return spark.createDataFrame([], schema)
     before = {heads[i].r: heads[i - 1].r for i in range(len(heads))}
-    keys = spark.createDataFrame([(x.id, x.h, before[x.r]) for x in heads], "hid long, hh long, r int")
-    first = rows.join(F.broadcast(keys), F.col("id").eqNullSafe(F.col("hid")) & (F.col("h") == F.col("hh"))).dropDuplicates(["hid", "hh"]).select("id", "text", "h", "r", F.lit(True).alias("head"))
-    dealt = rows.withColumn("r", place("id")).withColumn("head", F.lit(False)).unionByName(first)
+    keys = spark.createDataFrame([(x.id, x.h, before[x.r]) for x in heads], f"hid {kind}, hh long, r int")
+    first = rows.join(F.broadcast(keys), F.col("id").eqNullSafe(F.col("hid")) & (F.col("h") == F.col("hh"))).dropDuplicates(["hid", "hh"]).select("id", "text", "h", "o", "r", F.lit(True).alias("head"))
+    dealt = rows.withColumn("r", place("o")).withColumn("head", F.lit(False)).unionByName(first)
     parts = len(heads)
     placed = dealt.repartition(parts, "r").sortWithinPartitions("r", "head", F.col("id").asc_nulls_first(), "h")
 
@@ -84,7 +94,9 @@ def over_neighbours(df: DataFrame, id_col: str, text: str, make: Callable[[objec
                 yield pd.DataFrame(out, columns=names)
 
     names = [x.split()[0] for x in schema.split(", ")]
-    return placed.select("id", "text", "r", "head").mapInPandas(run, schema)
+    # ids go as text: numbers with nulls among them would be rounded
+    out = placed.select(F.col("id").cast("string").alias("id"), "text", "r", "head").mapInPandas(run, schema.replace(f"id {kind}", "id string", 1))
+    return out.withColumn("id", F.col("id").cast(kind))
 
 
 def edited(text: str, following: str) -> str:
@@ -120,7 +132,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
     Equal canonical texts have equal fingerprints, others different ones: where a digest is shared by different texts,
     all but the first in their order get its number appended. group_id is the smallest id with the same fingerprint. A null text is
-    empty. Repeated rows get a row each. An empty table gives an empty result. Other columns are not read.
+    empty. Ids may be numbers or strings, null ones come first. Repeated rows get a row each. An empty table gives an empty result. Other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -136,7 +148,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     if twins.limit(1).count():
         marks = _apart(df, id_col, text, marks, twins)
     groups = marks.groupBy("fingerprint").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint", "group_id")
-    out = marks.join(groups, "fingerprint", "left")
+    out = bounded(marks, groups, ["fingerprint"], "left")  # a group of many copies is dealt out
     return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.coalesce("group_id", "id").alias("group_id"))
 
 
