@@ -165,6 +165,8 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str =
 
     Repeated rows are packed a time each. An empty table gives an empty result. Other columns are not read.
     """
-    pieces = cut(tokenized(df, path, id_col, text, capacity))
+    kind = df.schema[id_col].dataType.simpleString()
+    # ids go as text: numbers with nulls among them would be rounded
+    pieces = cut(tokenized(df.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")), path, "id", "text", capacity))
     out = packed(pieces, capacity)
-    return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select(F.col("id").cast(kind).alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
