@@ -307,11 +307,11 @@ def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", html: str
     read as browsers do. Repeated rows get a row each. An empty table gives an empty result. Other columns are not read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [main_text(x) for x in pdf["html"]]
-            yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts, "n_chars": [len(x) for x in texts]})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, f"id {kind}, url string, text string, n_chars long")
-    return out.withColumnRenamed("id", id_col)
+    def run(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in pages:
+            texts = [main_text(x) for x in batch]
+            yield pd.DataFrame({"text": texts, "n_chars": [len(x) for x in texts]})
+
+    made = F.pandas_udf(run, "text string, n_chars long")
+    out = df.select(F.col(id_col).alias("id"), F.col(url).alias("url"), made(F.col(html)).alias("made"))
+    return out.select(F.col("id").alias(id_col), "url", "made.*")
