@@ -1,9 +1,11 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, an empty table and clashing extra columns."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from dqlens.llm import chat, extraction, fingerprints, jaccard, mixing, packing, quality, queries, sharding, toxicity, urls
+from dqlens.llm import chat, common, extraction, fingerprints, jaccard, mixing, packing, quality, queries, sharding, toxicity, urls
 from dqlens.llm.queries import tokenizer_path
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta. " * 4000
@@ -120,21 +122,24 @@ def test_the_url_query_mines_rules_from_labels_that_bear_on_urls(spark, tmp_path
     assert got == {i: "allow" if i % 4 else "block" for i in range(400)}
 
 
-def test_the_bound_of_characters_drops_only_texts_that_do_not_fit(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1_000)
-    d = spark.createDataFrame([(0, "x" * 1_001, "en"), *[(i, "y" * 100, "en") for i in range(1, 21)]], "doc_id long, text string, lang string")
+def test_no_labelled_row_is_too_long_to_fit_on(spark):
+    d = spark.createDataFrame([(0, "x" * 3_000_000, "en"), *[(i, f"y{i % 3} same words" * 100, "en") for i in range(1, 21)]], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in range(21)], "doc_id long, toxic int")
-    first = [r.doc_id for r in d.where("doc_id > 0").orderBy(F.xxhash64("doc_id")).limit(10).collect()]
-    assert toxicity.sampled(d, labels)["id"].tolist() == sorted(first)
+    got = toxicity.sampled(d, labels)
+    assert got["id"].tolist() == list(range(21)) and all(len(x) for x in got["features"][1:])
+    few = toxicity.sampled(d, labels, rows=5)["id"].tolist()
+    assert few == sorted(r.doc_id for r in d.orderBy(F.xxhash64("doc_id")).limit(5).collect())
     with pytest.warns(UserWarning, match="toxic"):
         toxicity.sampled(d, labels.withColumn("toxic", F.lit(0)))
 
 
 def test_shards_of_slots_are_multinomial(spark):
     sources = mixing.targets(spark.createDataFrame([("a", 40_000, 9), ("b", 30_000, 9), ("c", 50_000, 9)], "source string, total long, rows long"))
-    drawn = mixing.slots(sources, block=10, shard_blocks=600)
-    counts = {(r.shard, r["rank"]): r.slots for r in mixing.shard_counts(drawn).collect()}
-    assert {s for s, _ in counts} == set(range(20)) and sum(counts.values()) == drawn.count()
+    drawn = mixing.drawn(sources, block=10, shard_blocks=600).collect()
+    counts = {(r.shard, r["rank"]): r.n for r in drawn}
+    slots = mixing.slots(sources, block=10, shard_blocks=600).collect()
+    assert {s for s, _ in counts} == set(range(20)) and sum(counts.values()) == len(slots) == len({(r["rank"], r.epoch, r.block) for r in slots})
+    assert counts == Counter((r.shard, r["rank"]) for r in slots)
     for rank in range(3):
         own = [counts.get((s, rank), 0) for s in range(20)]
         mean = sum(own) / 20
@@ -154,3 +159,68 @@ def test_links_use_the_text_of_their_row(spark):
     rows = [(3, text("c")), (3, text("d")), (4, text("d") + " more"), (5, text("c") + " more")]
     got = jaccard.jaccard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (3, 3), (4, 3), (5, 3)]
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_ids_of_any_kind(spark, docs, name):
+    """Ids may be strings; whole numbers keep all their digits beside nulls."""
+    big = 2**62 + 1
+    shifted = docs.withColumn("doc_id", F.col("doc_id") + big)
+    got = OPERATORS[name](spark, shifted).collect()
+    assert sorted(r[0] or 0 for r in got) == sorted(x[0] + big if x[0] is not None else 0 for x in ROWS)
+    got = OPERATORS[name](spark, docs.withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))).collect()
+    assert sorted(r[0] or "" for r in got) == sorted(f"k{x[0]}" if x[0] is not None else "" for x in ROWS)
+
+
+def test_links_of_rows_without_or_with_text_ids(spark):
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(None, text("a")), ("x", text("a") + " more"), ("y", text("b")), (None, text("b") + " more"), (None, text("c")), (None, text("c") + " more")]
+    got = jaccard.jaccard(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("None", "None"), ("None", "None"), ("None", "x"), ("None", "y"), ("x", "x"), ("y", "y")]
+
+
+def test_a_verdict_can_be_filtered(spark, docs):
+    every = quality.quality(docs)
+    for column in ("kept", "base_failed"):
+        assert sorted(map(str, every.where(column).collect())) == sorted(str(r) for r in every.collect() if r[column])
+    assert every.where("kept AND n_words > 60").where("n_symbols < 5").count() == sum(r.kept and r.n_words > 60 and r.n_symbols < 5 for r in every.collect())
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
+def test_rows_of_a_key_are_numbered_over_buckets(spark):
+    d = spark.range(1000).select((F.col("id") % 2).alias("k"), "id", F.xxhash64("id").alias("h"))
+    got = common.numbered(d, ["k"], ["h", "id"], F.shiftright("h", 58), "no", F.col("id"), "before").collect()
+    for k in (0, 1):
+        rows = sorted((r for r in got if r.k == k), key=lambda r: r.h)
+        assert [r.no for r in rows] == list(range(500)) and [r.before for r in rows] == [sum(x.id for x in rows[:i]) for i in range(500)]
+
+
+def test_cut_tables_can_be_discarded(spark, docs):
+    kept = common.cut(docs)
+    assert kept.count() == len(ROWS)
+    common.discard(kept)
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file|does not exist"):
+        spark.read.schema(docs.schema).parquet(kept._dqlens_path).collect()
+
+
+def test_mixing_keeps_columns_of_equal_texts(spark):
+    rows = [(1, "some words here", "a", x) for x in ("p", "q", None, "p")]
+    got = Counter(r.extra for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, extra string")).collect())
+    assert got == {"p": 2, "q": 1, None: 1}
