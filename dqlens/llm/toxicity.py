@@ -18,8 +18,8 @@ from .common import cut, discard
 SAMPLE_ROWS = 8_000
 #: log2 of the number of hashed features; characters of the prefixes of words; folds; a score from which a row is toxic.
 BITS, PREFIXES, FOLDS, THRESHOLD = 20, (3, 4, 5, 6), 3, 0.5
-#: Toxic rows of the sample that have a feature, from which it may get a weight.
-LEAST_SEEN = 3
+#: Toxic rows of the sample that have a feature, from which it may get a weight; how many times more often they have it than other rows.
+LEAST_SEEN, LEAST_ODDS = 3, 2
 #: Labelled rows of a category from which it gets a link of the chain.
 LEAST_POSITIVE = 5
 #: Words whose features are remembered.
@@ -150,7 +150,8 @@ def fit(sample: pd.DataFrame, bits: int = BITS, folds: int = FOLDS) -> Chain:
 def sampled(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, bits: int = BITS) -> pd.DataFrame:
     """Labelled rows for fit(): at most rows of them, those with the lowest hashes of their ids; id, lang, toxic, features.
 
-    Whole texts become features on the executors. Only features that LEAST_SEEN toxic rows have reach the driver, as the others get no weight.
+    Whole texts become features on the executors, where they are counted. Only features that LEAST_SEEN toxic rows have, and LEAST_ODDS times as often as others,
+    reach the driver.
     Rows without id or label are left out; of several labels of an id, a toxic one is enough. Without a toxic row there is a warning.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
@@ -163,7 +164,9 @@ def sampled(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     got = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(chosen), "id")
     got = cut(got.select("id", "lang", "toxic", "h", F.xxhash64("text").alias("t"), F.pandas_udf(made, "array<int>")("text").alias("features")))
-    seen = got.where("toxic = 1").select(F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {LEAST_SEEN}").toPandas()  # a row a feature
+    n = got.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos"), F.count(F.lit(1)).alias("every")).head()
+    seen = got.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("every"))
+    seen = seen.where((F.col("pos") >= LEAST_SEEN) & (F.col("pos") * (n.every - n.pos) >= LEAST_ODDS * n.pos * (F.col("every") - F.col("pos")))).select("f").toPandas()  # a row a feature
     known = df.sparkSession.sparkContext.broadcast(np.sort(seen["f"].to_numpy(np.int32)))
 
     def only(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
