@@ -11,10 +11,30 @@ from typing import Any
 
 from .operators.rules import Rule
 
-DETECTORS = ("schema", "missingness", "duplicates", "constant", "identifier", "types", "rules", "numeric", "outliers", "categorical", "strings", "datetime", "temporal", "correlation", "redundancy", "target")
+# The detectors, in the order that they run in, and the outlier methods.
+DETECTORS = ("schema", "missingness", "duplicates", "constant", "identifier", "types", "numeric", "outliers", "categorical", "strings", "datetime", "temporal", "correlation", "redundancy", "target", "rules")
 OUTLIER_METHODS = ("iqr", "zscore", "modified_zscore", "isolation_forest")
 
+# Settings that must not exceed another one, which comes second.
+ORDERED = (("missing_warning", "missing_high"), ("duplicate_warning", "duplicate_high"), ("iqr_k", "iqr_extreme_k"), ("correlation_warning", "correlation_high"), ("psi_warning", "psi_high"), ("ks_warning", "ks_high"), ("jsd_warning", "jsd_high"), ("imbalance_high", "imbalance_warning"))
+#: Settings that are shares, from 0 to 1; the others but those below are from 0 on.
+SHARES = ("missing_warning", "missing_high", "missing_group_min_gap", "missing_cooccurrence_phi", "duplicate_warning", "duplicate_high", "near_constant_ratio", "dominant_category_ratio", "identifier_unique_ratio", "high_cardinality_ratio", "rare_category_ratio", "type_parse_ratio", "zero_inflation_ratio", "value_spike_ratio", "outlier_warning_ratio", "correlation_warning", "correlation_high", "cramers_v_warning", "ks_warning", "ks_high", "jsd_warning", "jsd_high", "temporal_shift_gap", "target_association_warning")
+#: Least and most of settings with other bounds.
+BOUNDS = {"temporal_min_periods": (4, None), "gap_factor": (1, None), "imbalance_warning": (0, 0.5), "imbalance_high": (0, 0.5), "max_examples": (0, 100), "sample_rows": (1000, None), "max_pairwise_columns": (2, None), "max_group_levels": (2, None)}
 
+
+def in_bounds(settings: Any) -> None:
+    """An error for a number outside of its bounds."""
+    for f in fields(settings):
+        value = getattr(settings, f.name)
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or f.name == "random_state":
+            continue
+        low, high = BOUNDS.get(f.name, (0, 1 if f.name in SHARES else None))
+        if value < low or high is not None and value > high:
+            raise ValueError(f"{f.name} must be {f'from {low} to {high}' if high is not None else f'{low} or more'}")
+
+
+# The thresholds and their defaults.
 @dataclass(frozen=True)
 class Thresholds:
     missing_warning: float = 0.10
@@ -58,12 +78,10 @@ class Thresholds:
     target_association_warning: float = 0.95
 
     def __post_init__(self):
-        pairs = (("missing_warning", "missing_high"), ("duplicate_warning", "duplicate_high"), ("dominant_category_ratio", "near_constant_ratio"), ("iqr_k", "iqr_extreme_k"), ("correlation_warning", "correlation_high"), ("psi_warning", "psi_high"), ("ks_warning", "ks_high"), ("jsd_warning", "jsd_high"))
-        for a, b in pairs:
+        in_bounds(self)
+        for a, b in ORDERED:
             if getattr(self, a) > getattr(self, b):
                 raise ValueError(f"{a} must not exceed {b}")
-        if self.imbalance_high > self.imbalance_warning:
-            raise ValueError("imbalance_high must not exceed imbalance_warning")
 
 
 @dataclass(frozen=True)
@@ -72,6 +90,9 @@ class Privacy:
     max_examples: int = 5
     redact_labels: bool = False
 
+    def __post_init__(self):
+        in_bounds(self)
+
 
 @dataclass(frozen=True)
 class Performance:
@@ -80,6 +101,9 @@ class Performance:
     max_group_levels: int = 50
     random_state: int = 0
 
+    def __post_init__(self):
+        in_bounds(self)
+
 
 @dataclass(frozen=True)
 class Config:
@@ -89,7 +113,7 @@ class Config:
     reference_time: str | None = None
     rules: Mapping[str, Rule] = field(default_factory=dict)
     detectors: Mapping[str, bool] = field(default_factory=dict)
-    outlier_methods: tuple[str, ...] = ("iqr", "zscore", "modified_zscore")
+    outlier_methods: tuple[str, ...] = ("iqr", "modified_zscore")
     thresholds: Thresholds = field(default_factory=Thresholds)
     privacy: Privacy = field(default_factory=Privacy)
     performance: Performance = field(default_factory=Performance)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,18 +54,74 @@ def numeric_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return by_column(df, names, make)
 
 
+#: Ranges of values that running sums are dealt to, of spearman_matrix(), exact_quantiles() and areas under curves.
+RANGES = 64
+#: Distinct values of a column that one task may hold.
+IN_ONE_TASK = 1_000_000
+
+
+def running(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """counts (keys, value, n: one row each) with before, the sum of n over lesser values of the same keys.
+
+    Ranges of values are cut at approximate quantiles, so that no task sorts all values of a column; a row for each range is summed up.
+    """
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)]).alias("__e"))
+    placed = counts.join(F.broadcast(edges), list(keys)).withColumn("__g", F.size(F.filter("__e", lambda e: e < F.col(value)))).drop("__e")
+    sums = placed.groupBy(*keys, "__g").agg(F.sum("n").alias("__t"))
+    w = Window.partitionBy(*keys).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    start = sums.select(*keys, "__g", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__o"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "__g").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(start), [*keys, "__g"]).withColumn("before", F.col("__o") + inside).drop("__g", "__o")
+
+
+def exact_quantiles(df: DataFrame, names: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """column_name, q: exact linear quantiles of each column's finite values as an array; null if it has none.
+
+    Values are counted in the cluster and summed up by ranges; the values on either side of each place are picked. No task holds the
+    distinct values of a column, as one does that merges the states of percentile().
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), C.finite(df, c).alias("v")) for c in names])
+    counts = df.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    run = running(counts, ["column_name"], "v").withColumn("after", F.col("before") + F.col("n"))
+    total = counts.groupBy("column_name").agg(F.sum("n").alias("total"))
+    run = run.join(F.broadcast(total), "column_name")  # a row a column
+    wanted = []
+    for j, p in enumerate(probabilities):
+        place = F.lit(float(p)) * (F.col("total") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        has = lambda k: (F.col("before") <= k) & (k < F.col("after"))
+        wanted += [F.max(F.when(has(low), F.col("v"))).alias(f"__l{j}"), F.max(F.when(has(high), F.col("v"))).alias(f"__h{j}"), F.first(place - low).alias(f"__w{j}")]
+    got = run.groupBy("column_name").agg(*wanted)
+    # as percentile() does: a place between two values weighs both
+    mixed = [F.when(F.col(f"__l{j}") == F.col(f"__h{j}"), F.col(f"__l{j}")).otherwise((1 - F.col(f"__w{j}")) * F.col(f"__l{j}") + F.col(f"__w{j}") * F.col(f"__h{j}")) for j in range(len(probabilities))]
+    every = df.sparkSession.createDataFrame([(c,) for c in names], "column_name string")
+    return every.join(F.broadcast(got.select("column_name", F.array(*mixed).alias("q"))), "column_name", "left")
+
+
+def quantile_row(df: DataFrame, names: Sequence[str], probabilities: Sequence[float], prefix: str) -> DataFrame:
+    """exact_quantiles() as one row: an array for each name, called prefix and the name's number."""
+    q = exact_quantiles(df, names, probabilities)
+    return q.agg(*[F.max(F.when(F.col("column_name") == c, F.col("q"))).alias(f"{prefix}{i}") for i, c in enumerate(names)])
+
+
+def quantiles(df: DataFrame, names: Sequence[str], probabilities: Sequence[float], most_distinct: int) -> dict[str, list[float]]:
+    """Exact linear quantiles of each column, on the driver. Columns of few distinct values take one pass, in which a task merges those; the result is the same."""
+    if most_distinct <= IN_ONE_TASK:
+        row = df.agg(*[F.percentile(C.finite(df, c), F.array(*[F.lit(float(p)) for p in probabilities])).alias(c) for c in names]).head()
+        return row.asDict()
+    return {r.column_name: r.q for r in exact_quantiles(df, names, probabilities).collect()}  # a row a column
+
+
 def numeric_quantiles(df: DataFrame, names: Sequence[str], probabilities: Sequence[float] = QUANTILES) -> DataFrame:
     """Linear quantiles of each column, exact."""
-    q = lambda c: F.percentile(C.finite(df, c), F.array(*[F.lit(p) for p in probabilities]))
-    wide = df.agg(*[q(c).alias(f"q{i}") for i, c in enumerate(names)])
-    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("probability"), rounded(F.col(f"q{i}")[j]).alias("value")) for i, c in enumerate(names) for j, p in enumerate(probabilities)]
-    return wide.select(F.inline(F.array(*rows)))
+    values = F.array(*[F.struct(F.lit(p).alias("probability"), rounded(F.col("q")[j]).alias("value")) for j, p in enumerate(probabilities)])
+    return exact_quantiles(df, names, probabilities).select("column_name", F.inline(values))
 
 
 def histogram(df: DataFrame, name: str, bins: int = 30, clip: tuple[float, float] = (0.005, 0.995)) -> DataFrame:
     """Equal bins between two quantiles; values outside count in the first or last."""
     x = C.finite(df, name)
-    edge = df.agg(F.percentile(x, F.array(F.lit(clip[0]), F.lit(clip[1]))).alias("e")).select(F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+    edge = quantile_row(df, [name], clip, "e").select(F.col("e0")[0].alias("lo"), F.col("e0")[1].alias("hi"))
     v = df.select(x.alias("x")).where("x IS NOT NULL").join(F.broadcast(edge))  # one row
     k = F.least(F.floor((F.least(F.greatest("x", "lo"), F.col("hi")) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1))
     return v.select(F.when(F.col("hi") > F.col("lo"), k).otherwise(F.lit(0)).cast("long").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
@@ -91,16 +148,21 @@ def top_share(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return top.select("column_name", F.col("t.value").alias("top_value"), (-F.col("t.m")).alias("top_count"), rounded(-F.col("t.m") / F.col("total")).alias("top_share"), "n_unique")
 
 
+def _with_total(counts: DataFrame) -> DataFrame:
+    """counts with the sum of n for each column: a row a column is broadcast."""
+    return counts.join(F.broadcast(counts.groupBy("column_name").agg(F.sum("n").alias("total"))), "column_name")
+
+
 def entropy(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Shannon entropy in bits, also as a share of its maximum."""
-    v = value_counts(df, names).withColumn("total", F.sum("n").over(Window.partitionBy("column_name")))
+    v = _with_total(value_counts(df, names))
     p = F.col("n") / F.col("total")
     out = v.groupBy("column_name").agg(F.sum(-p * F.log2(p)).alias("h"), F.count(F.lit(1)).alias("n_unique"))
     return out.select("column_name", rounded("h").alias("entropy"), rounded(F.when(F.col("n_unique") > 1, F.col("h") / F.log2("n_unique")).otherwise(0.0)).alias("normalised"), "n_unique")
 
 
 def rare_labels(df: DataFrame, name: str, below: float) -> DataFrame:
-    v = value_counts(df, [name]).withColumn("total", F.sum("n").over(Window.partitionBy("column_name")))
+    v = _with_total(value_counts(df, [name]))
     return v.where(F.col("n") < below * F.col("total")).select("value", "n")
 
 
@@ -111,7 +173,7 @@ def text_lengths(df: DataFrame, name: str) -> DataFrame:
 
 def tukey_outliers(df: DataFrame, names: Sequence[str], k: float = 1.5) -> DataFrame:
     """Fences and the number of values outside; none where the quartiles are equal."""
-    wide = df.agg(*[F.percentile(C.finite(df, c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(names)])
+    wide = quantile_row(df, names, (0.25, 0.75), "q")
     joined = df.join(F.broadcast(wide))  # one row
 
     def make(c: str) -> list[Column]:
@@ -128,18 +190,38 @@ def zscore_outliers(df: DataFrame, names: Sequence[str], limit: float = 3.0) ->
 
 
 def robust_scores(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """df with __z0, __z1 ...: modified z-scores of names by median and MAD (mean absolute deviation where MAD is 0). Two small passes."""
-    a = df.join(F.broadcast(df.agg(*[F.percentile(C.finite(df, c), 0.5).alias(f"__m{i}") for i, c in enumerate(names)])))
-    dev = {c: F.abs(C.finite(df, c) - F.col(f"__m{i}")) for i, c in enumerate(names)}
-    b = a.join(F.broadcast(a.agg(*[F.struct(F.percentile(dev[c], 0.5).alias("mad"), F.avg(dev[c]).alias("mean")).alias(f"__d{i}") for i, c in enumerate(names)])))
-    z = lambda i, c: F.when(F.col(f"__d{i}.mad") > 0, 0.6745 * (C.finite(df, c) - F.col(f"__m{i}")) / F.col(f"__d{i}.mad")).when(F.col(f"__d{i}.mean") > 0, (C.finite(df, c) - F.col(f"__m{i}")) / (1.253314 * F.col(f"__d{i}.mean"))).otherwise(0.0)
-    return b.withColumns({f"__z{i}": z(i, c) for i, c in enumerate(names)})
+    """df with __z0, __z1 ...: modified z-scores of names by median and MAD (mean absolute deviation where MAD is 0)."""
+    a = df.join(F.broadcast(quantile_row(df, names, (0.5,), "__m")))  # one row
+    dev = a.select(*[F.abs(C.finite(df, c) - F.col(f"__m{i}")[0]).alias(f"d{i}") for i, c in enumerate(names)])
+    means = dev.agg(*[F.avg(d).alias(f"__d{i}") for i, d in enumerate(dev.columns)])
+    b = a.join(F.broadcast(quantile_row(dev, dev.columns, (0.5,), "__a"))).join(F.broadcast(means))
+    out = {}
+    for i, c in enumerate(names):
+        off, mad, mean = C.finite(df, c) - F.col(f"__m{i}")[0], F.col(f"__a{i}")[0], F.col(f"__d{i}")
+        out[f"__z{i}"] = F.when(mad > 0, 0.6745 * off / mad).when(mean > 0, off / (1.253314 * mean)).otherwise(0.0)
+    return b.withColumns(out).drop(*[f"{p}{i}" for i in range(len(names)) for p in ("__m", "__a", "__d")])
 
 
 def modified_z_outliers(df: DataFrame, names: Sequence[str], limit: float = 3.5) -> DataFrame:
     return by_column(robust_scores(df, names), names, lambda c: [F.count(F.when(F.abs(F.col(f"__z{names.index(c)}")) > limit, 1)).alias("n_outliers")])
 
 
+#: Methods of outlier_masks().
+MASKS = ("iqr", "zscore", "modified_zscore")
+
+
+def outlier_masks(df: DataFrame, names: Sequence[str], iqr_k: float = 1.5, zscore: float = 3.0, modified_zscore: float = 3.5) -> DataFrame:
+    """df with a boolean for each method and column, iqr_0, zscore_0, modified_zscore_0, iqr_1 ...: whether the value is an outlier by it; a missing one is none."""
+    facts = df.agg(*[F.struct(F.avg(C.finite(df, c)).alias("m"), F.stddev_samp(C.finite(df, c)).alias("s")).alias(f"__f{i}") for i, c in enumerate(names)])
+    out = robust_scores(df, names).join(F.broadcast(facts)).join(F.broadcast(quantile_row(df, names, (0.25, 0.75), "__q")))  # one row each
+    for i, c in enumerate(names):
+        x, f, q = C.finite(df, c), F.col(f"__f{i}"), F.col(f"__q{i}")
+        fence = iqr_k * (q[1] - q[0])
+        tests = ((q[1] > q[0]) & ((x < q[0] - fence) | (x > q[1] + fence)), (f["s"] > 0) & (F.abs(x - f["m"]) > zscore * f["s"]), F.abs(F.col(f"__z{i}")) > modified_zscore)
+        out = out.withColumns({f"{m}_{i}": F.coalesce(t, F.lit(False)) for m, t in zip(MASKS, tests, strict=True)})
+    return out.drop(*[f"{p}{i}" for i in range(len(names)) for p in ("__f", "__q", "__z")])
+
+
 def size_adjusted_limit(n: int) -> float:
     """The robust score that a normal sample of n passes with a chance of about one in a hundred."""
     from statistics import NormalDist
@@ -153,37 +235,39 @@ def pearson_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _correlations(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    rows, names = [], list(values)
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            both = values[a].isNotNull() & values[b].isNotNull()
-            x, y = F.when(both, values[a]), F.when(both, values[b])
-            ok = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0) & (F.count(x) >= 10)
-            r = F.when(ok, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
-            rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), rounded(r, 6).alias("r"), F.count(x).alias("n")))
+    names = list(values)
+    return _correlated(df, [(a, b, values[a], values[b]) for i, a in enumerate(names) for b in names[i + 1 :]])
+
+
+def _correlated(df: DataFrame, pairs: Sequence[tuple[str, str, Column, Column]]) -> DataFrame:
+    rows = []
+    for a, b, u, v in pairs:
+        both = u.isNotNull() & v.isNotNull()
+        x, y = F.when(both, u), F.when(both, v)
+        ok = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0) & (F.count(x) >= 10)
+        r = F.when(ok, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), rounded(r, 6).alias("r"), F.count(x).alias("n")))
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def ranked(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Average ranks of names. Values are counted first, so the running sum is over distinct values; a running sum by ranges of values keeps it off one task."""
-    base = out = df.select(*[C.finite(df, c).alias(c) for c in names])
-    for c in names:
-        counts = base.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-        edges = counts.agg(F.percentile_approx(c, [i / 32 for i in range(1, 32)]).alias("__e"))
-        counts = counts.join(F.broadcast(edges)).withColumn("__g", F.size(F.filter("__e", lambda e: e < F.col(c)))).drop("__e")
-        sums = counts.groupBy("__g").agg(F.sum("__n").alias("__t"))
-        before = sums.withColumn("__o", F.coalesce(F.sum("__t").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__g", "__o")
-        inside = F.coalesce(F.sum("__n").over(Window.partitionBy("__g").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rank = counts.join(F.broadcast(before), "__g").select(F.col(c).alias("__v"), (F.col("__o") + inside + (F.col("__n") + 1) / 2).alias("__r"))
-        out = out.join(rank, F.col(c) == F.col("__v"), "left").withColumn(c, F.col("__r")).drop("__v", "__r")
-    return out
-
-
 def spearman_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rank correlations; ranks are over complete rows."""
-    full = df.select(*[C.finite(df, c).alias(c) for c in names]).na.drop()
-    r = ranked(full, names)
-    return _correlations(r, {c: F.col(c) for c in names})
+    """Rank correlations of pairs; average ranks are over the rows where both columns are present.
+
+    A column has one ranking for each other column with missing values, and one for all others. All rankings are made together: values
+    are counted, summed up by ranges, and given back to their rows, in two shuffles of long rows however many columns there are.
+    """
+    base = df.select(*[C.finite(df, c).alias(f"c{i}") for i, c in enumerate(names)])
+    gaps = base.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in base.columns]).head()
+    rankings: dict[tuple[int, int | None], int] = {}
+    number = lambda i, j: rankings.setdefault((i, j if gaps[j] else None), len(rankings))
+    pairs = [(i, j, number(i, j), number(j, i)) for i in range(len(names)) for j in range(i + 1, len(names))]
+    value = {k: F.col(f"c{i}") if j is None else F.when(F.col(f"c{j}").isNotNull(), F.col(f"c{i}")) for (i, j), k in rankings.items()}
+    entries = F.array(*[F.struct(F.lit(k).alias("ranking"), v.alias("v")) for k, v in value.items()])
+    long = base.withColumn("row", F.monotonically_increasing_id()).select("row", F.inline(entries)).where("v IS NOT NULL")
+    counts = long.groupBy("ranking", "v").agg(F.count(F.lit(1)).alias("n"))
+    rank = running(counts, ["ranking"], "v").select("ranking", "v", (F.col("before") + (F.col("n") + 1) / 2).alias("r"))
+    wide = long.join(rank, ["ranking", "v"]).groupBy("row").agg(*[F.max(F.when(F.col("ranking") == k, F.col("r"))).alias(f"r{k}") for k in value])
+    return _correlated(wide, [(names[i], names[j], F.col(f"r{a}"), F.col(f"r{b}")) for i, j, a, b in pairs])
 
 
 def phi_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -214,7 +298,7 @@ def correlation_ratio(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, name: str, bins: int = 10) -> Column:
     """The number of edges below a value; edges are quantiles, equal ones being one."""
-    edges = df.agg(F.percentile(C.finite(df, name), F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e")).head()[0] or []
+    edges = exact_quantiles(df, [name], [i / bins for i in range(1, bins)]).head().q or []
     x, out = C.finite(df, name), F.lit(0)
     for e in sorted(set(edges)):
         out = out + F.when(x > e, 1).otherwise(0)
@@ -270,3 +354,28 @@ def missing_by_group(df: DataFrame, group: str, names: Sequence[str]) -> DataFra
     out = df.groupBy(g).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(F.when(C.is_missing(df, c), 1)).alias(f"m{i}") for i, c in enumerate(names)])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("n_missing"), rounded(F.col(f"m{i}") / F.col("n_rows")).alias("missing_ratio")) for i, c in enumerate(names)])
     return out.select("level", "n_rows", F.inline(rows))
+
+
+def similar_labels(df: DataFrame, name: str, most: int = 2) -> DataFrame:
+    """Pairs a < b of distinct labels that at most `most` edits (0 to 2; a swap of neighbours is one) turn into each other.
+
+    Labels meet over what is left of them without up to `most` of their letters: any two so near share such a rest. So labels are joined by
+    rests, not each with each, and only pairs that met are compared.
+    """
+    from ..functions.small import within_edits
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([within_edits(x, y, most) for x, y in zip(a, b, strict=True)])
+
+    labels = df.where(F.col(name).isNotNull()).select(F.col(name).cast("string").alias("w")).distinct()
+    rests = F.array("w")
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    shorter = lambda many: F.flatten(F.transform(many, lambda w: F.when(F.length(w) > 0, without(w)).otherwise(F.array(w))))
+    level = rests
+    for _ in range(most):
+        level = F.array_distinct(shorter(level))
+        rests = F.array_union(rests, level)
+    met = labels.select("w", F.explode(rests).alias("rest"))
+    pairs = met.select(F.col("w").alias("a"), "rest").join(met.select(F.col("w").alias("b"), "rest"), "rest").where("a < b").select("a", "b").distinct()
+    return pairs.where(near("a", "b"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .aggregates import rounded
+from .aggregates import exact_quantiles, quantile_row, rounded
 
 FLOOR = 1e-4
 
@@ -33,7 +33,7 @@ def ks_wasserstein(ref: DataFrame, cur: DataFrame, name: str, ranges: int = 64)
     inside = Window.partitionBy("g").orderBy("v")
     gap = F.abs((F.col("or") + F.sum("r").over(inside)) / F.col("nr") - (F.col("oc") + F.sum("c").over(inside)) / F.col("nc"))
     t = g.join(F.broadcast(small), "g").select(gap.alias("gap"), (F.coalesce(F.lead("v").over(inside), F.col("after")) - F.col("v")).alias("step"))
-    q = ref.agg(F.percentile(C.finite(ref, name), F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.stddev_pop(C.finite(ref, name)).alias("s"))
+    q = quantile_row(ref, [name], (0.25, 0.75), "q").withColumnRenamed("q0", "q").join(F.broadcast(ref.agg(F.stddev_pop(C.finite(ref, name)).alias("s"))))  # one row
     scale = F.when(F.col("q")[1] > F.col("q")[0], F.col("q")[1] - F.col("q")[0]).when(F.col("s") > 0, F.col("s")).otherwise(1.0)
     out = t.agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce("step", F.lit(0.0))).alias("w")).join(F.broadcast(q))
     return out.select(rounded("ks").alias("ks"), rounded("w", 4).alias("wasserstein"), rounded(F.col("w") / scale).alias("wasserstein_scaled"))
@@ -53,7 +53,7 @@ def _shares(t: DataFrame) -> DataFrame:
 
 def numeric_psi(ref: DataFrame, cur: DataFrame, name: str, bins: int = 10) -> DataFrame:
     """Population stability over bins by the reference's deciles, closed on the right, the reference's minimum having its own."""
-    edges = ref.agg(F.percentile(C.finite(ref, name), F.array(*[F.lit(i / bins) for i in range(bins)])).alias("e")).head()[0] or []
+    edges = exact_quantiles(ref, [name], [i / bins for i in range(bins)]).head().q or []
     k = F.lit(0)
     for x in sorted(set(edges)):
         k = k + F.when(F.col("v") > x, 1).otherwise(0)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .aggregates import rounded
+from .aggregates import rounded, running
 
 
 def classes(df: DataFrame, target: str) -> DataFrame:
@@ -17,9 +17,8 @@ def classes(df: DataFrame, target: str) -> DataFrame:
 
 def auc_of_levels(levels: DataFrame) -> DataFrame:
     """The exact area under the curve, ties included, from levels (prediction, pos, neg): no rows are ranked, only levels."""
-    p = levels.groupBy("prediction").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("prediction").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = p.withColumn("below", below).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    p = levels.groupBy(F.lit(0).alias("all"), F.col("prediction").alias("v")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("n"))
+    t = running(p, ["all"], "v").agg(F.sum(F.col("pos") * (F.col("before") + F.col("n") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("n").alias("nn"))
     return t.select(rounded(F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("u") / (F.col("np") * F.col("nn"))), 8).alias("auc"))
 
 

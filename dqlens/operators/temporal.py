@@ -88,7 +88,7 @@ def median(x: Sequence[float]) -> float:
 
 
 def robust_sigma(x: Sequence[float]) -> float:
-    """Noise of a series from its steps: MAD of differences, else their standard deviation."""
+    """Noise of a series from its steps: MAD of differences, else their standard deviation (of a sample)."""
     d = [b - a for a, b in zip(x, x[1:], strict=False)]
     if not d:
         return 0.0
@@ -97,7 +97,7 @@ def robust_sigma(x: Sequence[float]) -> float:
     if mad > 0:
         return mad / (0.6745 * math.sqrt(2))
     mean = sum(d) / len(d)
-    return math.sqrt(sum((v - mean) ** 2 for v in d) / len(d)) / math.sqrt(2)
+    return math.sqrt(sum((v - mean) ** 2 for v in d) / (len(d) - 1)) / math.sqrt(2) if len(d) > 1 else 0.0
 
 
 def kolmogorov_p(t: float) -> float:
@@ -125,12 +125,12 @@ def cusum(x: Sequence[float], least: int = 3) -> dict | None:
 
 
 def change_points(x: Sequence[float], limit: float = 1.628, least: int = 3, most: int = 3) -> list[dict]:
-    """Splits again and again while a part's statistic passes the limit, left parts first."""
+    """Splits again and again while a part's statistic reaches the limit, left parts first."""
     found: list[dict] = []
 
     def split(lo: int, hi: int) -> None:
         c = cusum(x[lo:hi], least) if len(found) < most else None
-        if c and c["statistic"] > limit:
+        if c and c["statistic"] >= limit:
             found.append(c | {"index": lo + c["index"]})
             split(lo, lo + c["index"])
             split(lo + c["index"], hi)

@@ -491,12 +491,11 @@ def change_points(s, d):
     return s.createDataFrame([(days[c["index"] + 1][0], c["before"], c["after"], c["statistic"], c["p_value"]) for c in found], "period timestamp_ntz, before double, after double, statistic double, p_value double")
 
 
-@query()
+@query("""WITH w AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS w FROM part UNION SELECT DISTINCT lower(unnest(string_split(o_orderpriority, '-'))) FROM orders)
+SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON a.w < b.w AND damerau_levenshtein(a.w, b.w) <= 2""")
 def similar_labels(s, d):
-    from ..detectors.content import osa_distance
-
-    names = sorted({r[0].split()[-1].lower() for r in read(s, d, "part").select("p_type").distinct().collect()})
-    return s.createDataFrame([(a, b, osa_distance(a, b, 2)) for i, a in enumerate(names) for b in names[i + 1 :]], "a string, b string, distance int")
+    words = read(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).unionByName(read(s, d, "orders").select(F.explode(F.split("o_orderpriority", "-")).alias("w")))
+    return A.similar_labels(words.select(F.lower("w").alias("w")), "w", 2)
 
 
 @query()

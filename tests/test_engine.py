@@ -1,13 +1,14 @@
 """Planted problems are found, clean tables are quiet, odd tables don't crash."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import dqlens
 from dqlens.cli import main
-from dqlens.evaluation import Confusion, evaluate_findings, evaluate_rows, summarize
+from dqlens.evaluation import evaluate_findings, evaluate_rows, rates, summarize
 from dqlens.findings import Finding, Report, findings_frame
 from dqlens.synthetic import generate_dataset, make_drift_pair
 
@@ -24,7 +25,7 @@ def test_all_planted_problems_are_found(planted):
     data, report = planted
     assert not [f for f in report.findings if f.code == "dqlens.detector_error"]
     got = evaluate_findings(report.findings, data.issues, data.df.columns)
-    assert {k: c.recall for k, c in got.items() if c.recall is not None and c.recall < 1} == {}
+    assert {k: rates(c)["recall"] for k, c in got.items() if (rates(c)["recall"] or 1) < 1 or c["missed"]} == {}
 
 
 def test_report_round_trip_and_sinks(planted, spark, tmp_path):
@@ -168,8 +169,9 @@ def test_findings_frame_and_metrics(spark):
     f = Finding("d", "c", "numeric", "info", "t", "o", ("a", "b"), {"x": float("nan")})
     row = findings_frame(spark, [f]).selectExpr("id", "substr(sha1(concat_ws('|', detector, code, columns[0], columns[1])), 1, 12) AS h", "evidence").head()
     assert row.id == row.h and row.evidence == '{"x": null}'
-    c = summarize([{"k": Confusion(1, 1, 0, 2)}, {"k": evaluate_rows({1, 2}, {2, 3}, 10)}])["k"]
-    assert (c.tp, c.fp, c.fn, c.tn) == (2, 2, 1, 9) and Confusion().recall is None
+    c = summarize([{"k": Counter(found=1, false_alarm=1, quiet=2)}, {"k": evaluate_rows({1, 2}, {2, 3}, 10)}])["k"]
+    assert [c[k] for k in ("found", "false_alarm", "missed", "quiet")] == [2, 2, 1, 9] and rates(Counter())["recall"] is None
+    assert c["precision"] == 0.5 and c["recall"] == 2 / 3 and c["false_negative_rate"] == 1 / 3
 
 
 def test_stream(spark, sf, tmp_path):

@@ -1,16 +1,19 @@
 """Known distributions give known answers."""
 
+import itertools
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dqlens import evaluation as E
 from dqlens.config import build_config
 from dqlens.context import Context
-from dqlens.detectors.content import osa_distance
 from dqlens.engine import domain_auc
+from dqlens.functions.small import within_edits
 from dqlens.operators import aggregates as A
 from dqlens.operators import drift as D
 from dqlens.operators import temporal as T
@@ -59,8 +62,58 @@ def test_change_points():
     assert T.spikes([10, 11, 10, 12, 11, 10, 90, 11, 10, 12, 11]) == [6]
 
 
-def test_osa():
-    assert osa_distance("untied", "united", 2) == 1 and osa_distance("abc", "abc", 1) == 0 and osa_distance("abcdef", "uvwxyz", 2) == 3
+def plain_edits(a, b):
+    """All edits and swaps of neighbours, by the table of all prefixes."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+        d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        if a[i - 2 : i] == b[j - 2 : j][::-1] and i > 1 and j > 1:
+            d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abc", max_size=7), st.text("abc", max_size=7), st.integers(0, 3))
+def test_edits(a, b, most):
+    assert within_edits(a, b, most) == (plain_edits(a, b) <= most)
+
+
+def test_similar_labels(spark):
+    r = random.Random(4)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 7))) for _ in range(60)})
+    got = {tuple(x) for x in A.similar_labels(spark.createDataFrame([(w,) for w in [*words, *words, None]], "w string"), "w", 2).collect()}
+    assert got == {(a, b) for a in words for b in words if a < b and plain_edits(a, b) <= 2}
+
+
+def test_quantiles_and_ranks_by_ranges(spark):
+    import pandas as pd
+
+    r = random.Random(6)
+    rows = [(None if r.random() < 0.1 else float(r.randrange(40)), r.gauss(0, 1) if r.random() < 0.9 else None, float(i % 7), None) for i in range(500)]
+    d, p = spark.createDataFrame(rows, "a double, b double, c double, d double"), pd.DataFrame(rows, columns=list("abcd"), dtype=float)
+    probabilities = (0, 0.01, 0.25, 0.5, 0.9, 1)
+    got = {x.column_name: x.q for x in A.exact_quantiles(d, list("abcd"), probabilities).collect()}
+    assert got["d"] is None
+    for c in "abc":
+        assert got[c] == pytest.approx([p[c].quantile(q) for q in probabilities])
+    few, many = (A.quantiles(d, ["a", "b"], (0.25, 0.5), k) for k in (10, 10**9))
+    assert all(few[c] == pytest.approx(many[c]) for c in "ab")
+    want = p.corr("spearman")
+    for x in A.spearman_matrix(d, list("abcd")).collect():
+        assert x.r == (None if x.b == "d" else pytest.approx(want.loc[x.a, x.b], abs=1e-6))
+
+
+def test_settings_have_bounds():
+    for bad in ({"thresholds": {"missing_warning": 1.5}}, {"thresholds": {"imbalance_warning": 0.6}}, {"thresholds": {"temporal_min_periods": 2}}, {"performance": {"sample_rows": 10}}, {"privacy": {"max_examples": 101}}, {"thresholds": {"psi_high": 0.01}}):
+        with pytest.raises(ValueError):
+            build_config(bad)
+
+
+def test_outlier_rows(spark):
+    rows = [(i, float(i % 10) if i else 1000.0) for i in range(200)]
+    d = spark.createDataFrame(rows, "id long, v double")
+    got = E.outlier_row_scores(d, spark.createDataFrame([(0, "v")], "id long, column_name string"), "id", ["v"])
+    assert {m: dict(c) for m, c in got.items()} == {m: {"found": 1, "quiet": 199} for m in A.MASKS}
 
 
 def test_forest_finds_the_far_point(spark):
