@@ -1,7 +1,8 @@
 """HTML extraction: blocks of a page are labelled content or boilerplate by a minimum cut.
 
 Each block has two costs from a linear classifier: one for calling it content, one for calling it
-boilerplate. They are capacities to the terminals. Blocks that follow each other, and blocks close in the tree, are joined by
+boilerplate. What a block's place in the markup says has given weights; what its text says has weights fitted on the blocks that markup labels, and decides where
+markup says nothing. The costs are capacities to the terminals. Blocks that follow each other, and blocks close in the tree, are joined by
 edges that cost something where the labels differ. The minimum cut gives the cheapest labelling.
 """
 
@@ -10,9 +11,10 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +37,15 @@ BOILERPLATE_NAMES = frozenset(
     "related recommended recommendations recommend more teaser teasers outbrain taboola pagination pager tags tagcloud toolbar skip legal copyright disclaimer paywall hidden".split()
 )
 
-#: Weights of the classifier's features: over 0 speaks for content. Costs are the parts of the sum under and over 0.
-WEIGHTS = {
-    "start": -0.2, "content_element": 3.0, "boilerplate_element": -9.0, "boilerplate_name": -9.0, "content_name": 1.2, "paragraph": 0.8, "heading": 0.2,
-    "list_item": -0.3, "link_share": -3.5, "words": 0.35, "sentence": 0.6, "copyright": -2.5, "hidden": -12.0,
-}
+#: Weights of what the markup says about a block's place; over 0 speaks for content. Marks also label the blocks that the other weights are fitted on.
+PLACE = {"content_element": 3.0, "boilerplate_element": -9.0, "boilerplate_name": -9.0, "content_name": 1.2, "hidden": -12.0}
+#: What the text of a block says: features whose weights are fitted. These weights serve where a table has too few labelled blocks.
+TEXT = {"start": -0.2, "paragraph": 0.8, "heading": 0.2, "list_item": -0.3, "link_share": -3.5, "words": 0.35, "sentence": 0.6, "copyright": -2.5}
+WEIGHTS = PLACE | TEXT
+#: Pages that weights are fitted on at most, those with the lowest hashes of their ids; blocks of each label that are needed; strength of the penalty on large weights.
+SAMPLE_PAGES, LEAST_BLOCKS, RIDGE = 500, 50, 0.01
 #: Capacities between blocks: that follow each other, and with the same parent (or grandparent).
-NEXT, SAME_PARENT, SAME_GRANDPARENT = 0.25, 0.5, 0.25
+NEXT, SAME_PARENT, SAME_GRANDPARENT = 0.5, 1.0, 0.5
 SPACES = re.compile(r"[\s\x1c-\x1f\x85]+")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SENTENCE_END = re.compile(r"[.!?…:;。]['\"”’)]*$")
@@ -63,7 +67,6 @@ class Block:
     node: Node
     link_chars: int
     tags: frozenset[str]
-    feature: dict[str, float] = field(default_factory=dict)
 
 
 class Blocks(HTMLParser):
@@ -177,8 +180,8 @@ class Blocks(HTMLParser):
         self.seen.add(self.node.tag)
 
 
-def classify(b: Block) -> float:
-    """The classifier's sum for a block; its features stay with the block."""
+def features(b: Block) -> dict[str, float]:
+    """The features of a block by name."""
     marks, tags = b.node.inherited, set()
     x: Node | None = b.node
     while x is not None and len(tags) < 8:
@@ -191,8 +194,56 @@ def classify(b: Block) -> float:
         "content_name": "content_name" in marks, "paragraph": bool(tags & {"p", "pre", "blockquote"}), "heading": bool(tags & HEADINGS), "list_item": "li" in tags,
         "link_share": min(1.0, b.link_chars / max(1, chars)), "words": min(4.0, words / 10), "sentence": bool(SENTENCE_END.search(b.text)), "copyright": bool(COPYRIGHT.search(b.text)),
     }
-    b.feature = {k: float(v) for k, v in f.items()}
-    return sum(WEIGHTS[k] * v for k, v in b.feature.items())
+    return {k: float(v) for k, v in f.items()}
+
+
+def weak_label(f: dict[str, float]) -> bool | None:
+    """What the markup says of a block: content, boilerplate, or nothing (None)."""
+    if f["boilerplate_element"] or f["boilerplate_name"] or f["hidden"]:
+        return False
+    return True if f["content_element"] else None
+
+
+def labelled_blocks(html: str | None) -> list[tuple[bool, list[float]]]:
+    """Label and text features (in the order of TEXT) of the blocks of a page that its markup labels."""
+    found = [features(b) for b in blocks_of(html)]
+    return [(y, [f[k] for k in TEXT]) for f in found if (y := weak_label(f)) is not None]
+
+
+def fit(x: np.ndarray, y: np.ndarray, steps: int = 25) -> dict[str, float]:
+    """Weights of all features: those of the text by logistic regression (Newton's steps, both labels weighing the same), those of the place as given.
+
+    x: rows of text features in the order of TEXT, y: 1 for content. With fewer than LEAST_BLOCKS rows of a label it is WEIGHTS.
+    """
+    n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
+    if min(n_pos, n_neg) < LEAST_BLOCKS:
+        return WEIGHTS
+    share, w = np.where(y > 0, 0.5 / n_pos, 0.5 / n_neg), np.zeros(x.shape[1])
+    penalty = RIDGE * np.eye(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (share * (p - y)) + penalty @ w
+        w = w - np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + penalty, slope)
+    return PLACE | dict(zip(TEXT, w.tolist(), strict=True))
+
+
+def fitted(df: DataFrame, id_col: str = "page_id", html: str = "html", pages: int = SAMPLE_PAGES) -> dict[str, float]:
+    """Weights fitted on the labelled blocks of at most `pages` of df's pages (by the lowest hashes of their ids). Pages are parsed on the executors; rows of numbers reach the driver."""
+    keyed = df.select(F.xxhash64(id_col).alias("h"), F.col(html).alias("html"))
+    chosen = keyed.select("h").distinct().orderBy("h").limit(pages)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(float(y), x) for t in pdf["html"] for y, x in labelled_blocks(t)], columns=["y", "x"])
+
+    rows = keyed.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("html").mapInPandas(run, "y double, x array<double>").toPandas()
+    rows = rows.assign(key=rows["x"].map(tuple)).sort_values(["y", "key"])  # sums don't depend on the order that rows come in
+    return fit(np.array(rows["key"].tolist(), float).reshape(len(rows), len(TEXT)), rows["y"].to_numpy(float))
+
+
+def classify(b: Block, weights: dict[str, float] = WEIGHTS) -> float:
+    """The classifier's sum for a block: over 0 for content. Its parts over and under 0 are the costs of the other label."""
+    return sum(weights.get(k, 0.0) * v for k, v in features(b).items())
 
 
 def minimum_cut(n: int, source: list[int], sink: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -262,13 +313,17 @@ def minimum_cut(n: int, source: list[int], sink: list[int], edges: list[tuple[in
                 break
 
 
-def labelled(html: str | None) -> list[tuple[str, bool]]:
-    """The text of each block of a page and whether it is content."""
+def blocks_of(html: str | None) -> list[Block]:
     p = Blocks()
     p.feed(html or "")
     p.close_all()
-    blocks = p.blocks
-    sums = [classify(b) for b in blocks]
+    return p.blocks
+
+
+def labelled(html: str | None, weights: dict[str, float] = WEIGHTS) -> list[tuple[str, bool]]:
+    """The text of each block of a page and whether it is content."""
+    blocks = blocks_of(html)
+    sums = [classify(b, weights) for b in blocks]
     source = [round(SCALE * max(0.0, x)) for x in sums]
     sink = [round(SCALE * max(0.0, -x)) for x in sums]
     edges, last = [], {}
@@ -295,21 +350,24 @@ def _close_all(self: Blocks) -> None:
 Blocks.close_all = _close_all
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     """The content blocks of a page, joined by line ends."""
-    return "\n".join(t for t, kept in labelled(html) if kept)
+    return "\n".join(t for t, kept in labelled(html, weights) if kept)
 
 
-def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", weights: dict[str, float] | None = None) -> DataFrame:
     """Per row: id, url, text (the main text of the whole html; empty if there is none), n_chars (its code points).
 
     Null html is empty. White space in a block is one space; blocks are joined by one line end. Markup that isn't closed is
-    read as browsers do. Repeated rows get a row each. An empty table gives an empty result. Other columns are not read.
+    read as browsers do. Without weights, those are fitted first, see fitted(). Repeated rows get a row each. An empty table gives an empty result. Other columns are not read.
     """
 
+    if weights is None:
+        weights = fitted(df, id_col, html)
+
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in pages:
-            texts = [main_text(x) for x in batch]
+            texts = [main_text(x, weights) for x in batch]
             yield pd.DataFrame({"text": texts, "n_chars": [len(x) for x in texts]})
 
     made = F.pandas_udf(run, "text string, n_chars long")

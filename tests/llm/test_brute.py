@@ -182,12 +182,42 @@ def test_minimum_cut_is_minimal(n, data):
 
 def test_extraction_of_pages(spark, sf):
     """The pages' articles, by a plain pattern for their one layout."""
-    for r in queries.op4_html_extraction(spark, sf).collect():
-        assert r.n_chars == len(r.text)
+    got = {r.page_id: r for r in queries.op4_html_extraction(spark, sf).collect()}
     for key, html in duckdb.sql(f"SELECT page_id, html FROM '{sf}/pages.parquet'").fetchall():
         article = re.search(r"(?s)<article>(.*?)</article>", html)[1]
         want = [" ".join(unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:h1|p)[^>]*>", article)]
-        assert extraction.main_text(html).replace("\xa0", " ") == "\n".join(x for x in want if x), key
+        assert got[key].text.replace("\xa0", " ") == "\n".join(x for x in want if x), key
+        assert got[key].n_chars == len(got[key].text) and extraction.main_text(html) == got[key].text
+
+
+def test_the_cut_mends_labels_that_text_alone_gets_wrong(sf):
+    """Half of the pages teach what text says; on the other half labels are guessed from it alone, with and without the cut, against those of the markup.
+
+    As the pages are, text and tags tell all blocks apart. With all tags made div and span, only words, ends of sentences and places in the tree are left.
+    """
+    pages = [h for (h,) in duckdb.sql(f"SELECT html FROM '{sf}/pages.parquet' ORDER BY page_id").fetchall()]
+    bare = lambda h: re.sub(r"<(/?)a\b", r"<\1span", re.sub(r"<(/?)(?:p|h[1-6]|li|ul)\b", r"<\1div", h))
+    truth = lambda h: [extraction.weak_label(extraction.features(b)) for b in extraction.blocks_of(h)]
+
+    def accuracy(change):
+        rows = [(y, [extraction.features(b)[k] for k in extraction.TEXT]) for h in pages[::2] for b, y in zip(extraction.blocks_of(change(h)), truth(h), strict=True) if y is not None]
+        weights = extraction.fit(np.array([x for _, x in rows]), np.array([float(y) for y, _ in rows]))
+        blind, alone, mended = {k: weights[k] for k in extraction.TEXT}, [], []
+        for h in pages[1::2]:
+            for b, (_, kept), y in zip(extraction.blocks_of(change(h)), extraction.labelled(change(h), blind), truth(h), strict=True):
+                if y is not None:
+                    alone.append((extraction.classify(b, blind) > 0) == y)
+                    mended.append(kept == y)
+        return sum(alone) / len(alone), sum(mended) / len(mended)
+
+    assert accuracy(lambda h: h) == (1.0, 1.0)
+    alone, mended = accuracy(bare)
+    assert alone < 0.95 and mended > alone + 0.03
+
+
+def test_too_few_labelled_blocks_keep_the_given_weights(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>One block only, without any mark.</p>"), (2, "u", None)], "page_id long, url string, html string")
+    assert extraction.fitted(pages) is extraction.WEIGHTS and extraction.fitted(pages.limit(0)) is extraction.WEIGHTS
 
 
 def test_fingerprints(spark, sf, texts):
