@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .tokens import WordIds
+from .tokens import word_ids
 
 #: Tokens of a sequence, rows of a bucket that are packed together, rounds of exchanges at most, bins whose room a bucket with a gap gives up.
 CAPACITY, ROWS_PER_BUCKET, ROUNDS, SLACK = 4096, 50_000, 12, 4
@@ -88,7 +88,7 @@ def tokenized(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds(path)
+        ids = word_ids(path)
         for pdf in batches:
             rows = []
             for key, t in zip(pdf["id"], pdf["text"], strict=True):

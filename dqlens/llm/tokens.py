@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import struct
+from functools import lru_cache
 
 import regex
 
@@ -87,3 +88,9 @@ class WordIds:
         if len(new) > self.runs.limit:
             self.runs.full()
         return out
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """The WordIds of a file, one for a process: a Python worker keeps what it has met from task to task."""
+    return WordIds(path)
