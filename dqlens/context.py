@@ -134,18 +134,21 @@ class Context:
         return C.finite(self.df, c)
 
     def number_stats(self, names: list[str]) -> dict[str, dict]:
+        """Of each column; a row for each column and value goes through one short list of aggregates, whose plan doesn't grow with the columns."""
         out: dict[str, dict] = {}
         for at in range(0, len(names), A.CHUNK):
-            rows = []
+            pairs = []
             for n in names[at : at + A.CHUNK]:
                 x = self.value(n)
                 raw = C.present(self.df, self.col[n]).cast("double") if self.stored(n) == "number" else x
-                rows.append(F.struct(
-                    F.lit(n).alias("name"), F.count(x).alias("n"), F.count(F.when(raw.isin(float("inf"), float("-inf")), 1)).alias("n_infinite"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-                    F.count(F.when(x == 0, 1)).alias("zeros"), F.count(F.when(x < 0, 1)).alias("negatives"), F.coalesce(F.bool_and(x == F.floor(x)), F.lit(False)).alias("integer_valued"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
-                    F.percentile(x, F.array(*[F.lit(p) for p in QUANTILES])).alias("q"), *[F.count(F.when(x == s, 1)).alias(f"s{i}") for i, s in enumerate(C.SENTINELS)],
-                ))
-            for r in self.df.agg(F.array(*rows).alias("r")).select(F.inline("r")).collect():
+                pairs.append(F.struct(F.lit(n).alias("name"), x.alias("x"), raw.alias("raw")))
+            x, raw = F.col("x"), F.col("raw")
+            aggs = [
+                F.count(x).alias("n"), F.count(F.when(raw.isin(float("inf"), float("-inf")), 1)).alias("n_infinite"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+                F.count(F.when(x == 0, 1)).alias("zeros"), F.count(F.when(x < 0, 1)).alias("negatives"), F.coalesce(F.bool_and(x == F.floor(x)), F.lit(False)).alias("integer_valued"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
+                F.percentile(x, F.array(*[F.lit(p) for p in QUANTILES])).alias("q"), *[F.count(F.when(x == s, 1)).alias(f"s{i}") for i, s in enumerate(C.SENTINELS)],
+            ]
+            for r in self.df.select(F.inline(F.array(*pairs))).groupBy("name").agg(*aggs).collect():
                 d = r.asDict()
                 n = d["n"]
                 g1, g2 = d.pop("g1"), d.pop("g2")
