@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+import threading
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import cached_property
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +26,8 @@ TIME_NAME = re.compile(r"(date|time|timestamp|_ts$|^ts$|_at$|day|created|updated
 NOT_TIME_NAME = re.compile(r"(birth|dob|expir|due|planned|scheduled|deadline|valid_(to|until)|end_date)", re.I)
 #: Labels of a column that reach the driver.
 LABELS = 2_000
+#: Passes or detectors that run at once; their jobs share the executors.
+AT_ONCE = 4
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -63,6 +68,30 @@ def disambiguated(names: list[str]) -> list[str]:
     return out
 
 
+class shared:
+    """A property that is computed once: threads that ask for it meanwhile wait."""
+
+    def __init__(self, f: Callable):
+        self.f, self.__doc__ = f, f.__doc__
+
+    def __set_name__(self, owner: type, name: str):
+        self.name = name
+
+    def __get__(self, x, owner=None):
+        if x is None:
+            return self
+        with x.locks[self.name]:
+            if self.name not in x.__dict__:
+                x.__dict__[self.name] = self.f(x)
+            return x.__dict__[self.name]
+
+
+def at_once(spark: SparkSession, calls: Iterable[Callable]) -> list:
+    """The results of calls that run in threads, in the order of the calls; their jobs keep the caller's job group and tags."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
+
+
 class Context:
     """df: the table as c0, c1 ...; names: what a finding calls them. Passes run when they are first asked for, then stay."""
 
@@ -80,6 +109,7 @@ class Context:
         self.profiles: dict[str, dict] = {n: {} for n in self.names}
         self.sections: dict[str, dict] = {}
         self._cached: list[DataFrame] = []
+        self.locks = {k: threading.RLock() for k, v in vars(type(self)).items() if isinstance(v, shared)}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._cached.append(df.persist())
@@ -89,6 +119,10 @@ class Context:
         for df in self._cached:
             df.unpersist()
 
+    def ahead(self, *names: str) -> None:
+        """Computes properties that don't need each other at once."""
+        at_once(self.df.sparkSession, [lambda n=n: getattr(self, n) for n in names])
+
     # -- kinds of storage
 
     def stored(self, name: str) -> str:
@@ -111,16 +145,16 @@ class Context:
 
     # -- P0: one wide aggregation, in chunks that compile
 
-    @cached_property
+    @shared
     def n(self) -> int:
         return self.missing["__n"]
 
-    @cached_property
+    @shared
     def missing(self) -> dict[str, int]:
         row = self.df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.when(C.is_missing(self.df, c), 1)).alias(c) for c in self.df.columns]).head()
         return {"__n": row["__n"]} | {n: row[self.col[n]] for n in self.names}
 
-    @cached_property
+    @shared
     def numbers(self) -> dict[str, dict]:
         """Moments and quantiles of stored numbers and of texts that are numbers."""
         names = [n for n in self.names if self.stored(n) == "number" or (n in self.schema_ready and self.schema_ready[n].semantic_type == "numeric" and self.stored(n) == "string")]
@@ -163,17 +197,17 @@ class Context:
 
     # -- P1: value counts, kept in the cluster; the most frequent labels reach the driver
 
-    @cached_property
+    @shared
     def counts(self) -> DataFrame:
         return self.keep(A.value_counts(self.df, self.df.columns))
 
-    @cached_property
+    @shared
     def uniques(self) -> dict[str, tuple[int, int]]:
         """Distinct values and the count of the most frequent one, exact at any size."""
         out = {r.column_name: (r.k, r.m) for r in self.counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("m")).collect()} if self.names else {}
         return {n: out.get(self.col[n], (0, 0)) for n in self.names}
 
-    @cached_property
+    @shared
     def labels(self) -> dict[str, list[tuple[str, int]]]:
         """The most frequent values of each column (of numbers, where there are no more), at most LABELS of each, ties by label."""
         w = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
@@ -187,7 +221,7 @@ class Context:
             out[back[r.column_name]].append((r.value, r.n))
         return out
 
-    @cached_property
+    @shared
     def texts(self) -> dict[str, dict]:
         """What the values of text columns look like: rows by kind of number, date, zone, token and so on."""
         names = self.stored_as("string")
@@ -208,7 +242,7 @@ class Context:
         back = {self.col[x]: x for x in names}
         return {back[r.column_name]: r.asDict() for r in self.counts.where(F.col("column_name").isin(*back)).groupBy("column_name").agg(*aggs).collect()}
 
-    @cached_property
+    @shared
     def shapes(self) -> dict[str, list[tuple[str, int, int]]]:
         """The ten most frequent compact shapes of text columns: shape, rows, distinct values."""
         names = {self.col[n]: n for n in self.stored_as("string")}
@@ -219,7 +253,7 @@ class Context:
                 out[names[r.column_name]].append((r["shape"], r["rows"], r["values"]))
         return out
 
-    @cached_property
+    @shared
     def monotonic(self) -> dict[str, tuple[bool, float]]:
         """Of integer columns: whether values rise or fall strictly in the order of rows, and the share of steps of one."""
         names = [n for n in self.names if self.is_integer(n)]
@@ -260,8 +294,10 @@ class Context:
 
     schema_ready: dict[str, ColumnSchema] = {}
 
-    @cached_property
+    @shared
     def schema(self) -> dict[str, ColumnSchema]:
+        self.ahead("missing", "uniques", "monotonic")
+        self.ahead("labels", "texts", "shapes")
         out = {}
         for i, n in enumerate(self.names):
             c = ColumnSchema(n, i, self.types[i].simpleString(), "unknown", self.n, self.missing[n], self.uniques[n][0])
@@ -343,7 +379,7 @@ class Context:
         c = F.col(self.col[name])
         return C.to_datetime(c) if self.stored(name) == "string" else c.cast("timestamp_ntz")
 
-    @cached_property
+    @shared
     def times(self) -> dict[str, dict]:
         """Facts about every datetime column, from one pass."""
         names = self.of_type("datetime")
@@ -357,7 +393,7 @@ class Context:
             ))
         return {r["name"]: r.asDict() for r in self.df.agg(F.array(*rows).alias("r")).select(F.inline("r")).collect()} if rows else {}
 
-    @cached_property
+    @shared
     def time_column(self) -> str | None:
         if self.config.time_column:
             return self.config.time_column if self.config.time_column in self.of_type("datetime") else None
@@ -371,7 +407,7 @@ class Context:
                 best = (key, n)
         return best[1] if best else None
 
-    @cached_property
+    @shared
     def unit(self) -> str | None:
         n = self.time_column
         if not n or not self.times[n]["n"]:
@@ -379,7 +415,7 @@ class Context:
         span = (self.times[n]["max"] - self.times[n]["min"]).total_seconds() / 86400
         return TM.choose_unit(span, self.t.temporal_min_periods)
 
-    @cached_property
+    @shared
     def bins(self) -> list[dict]:
         """P4: per period the rows, the missing rates of all columns and the medians of numeric ones; empty periods have 0 rows."""
         if not self.unit:
@@ -394,13 +430,13 @@ class Context:
 
     # -- sample
 
-    @cached_property
+    @shared
     def sample(self) -> DataFrame:
         """At most sample_rows rows, by hash of their places; all of them where there are no more."""
         most = self.config.performance.sample_rows
         return self.df if self.n <= most else self.keep(A.spread(self.df, most, self.n, self.config.performance.random_state))
 
-    @cached_property
+    @shared
     def frame(self):
         """The sample on the driver, one job: numbers as floats, labels and ids as they are; no texts, dates or nested values.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import detectors as registry
 from .config import Config, build_config
-from .context import Context
+from .context import Context, at_once
 from .detectors import finding, pct, tiered
 from .findings import Finding, Report, ordered
 from .functions import columns as C
@@ -21,12 +21,23 @@ from .operators import drift as D
 from .sources.load import load
 
 
-def _resolve(config: Config, names: Sequence[str] | None, extra: Iterable[Any]) -> list[tuple[str, Callable]]:
+def _resolve(config: Config, names: Sequence[str] | None) -> list[tuple[str, Callable]]:
     for n in names or ():
         if n not in registry.REGISTRY:
             raise ValueError(f"unknown detector {n!r}")
-    chosen = [(n, registry.REGISTRY[n]) for n in config.enabled() if names is None or n in names]
-    return chosen + [(e.name, e.analyze) for e in extra]
+    return [(n, registry.REGISTRY[n]) for n in config.enabled() if names is None or n in names]
+
+
+def _run(x: Context, name: str, run: Callable) -> tuple[list[Finding], dict]:
+    """A detector's findings and the record of its run; a failure is reported, not raised."""
+    start, error = time.time(), None
+    try:
+        got = list(run(x))
+        n = len(got)
+    except Exception as e:
+        error, n = f"{type(e).__name__}: {e}"[:500], 0
+        got = [finding(name, "dqlens.detector_error", "pipeline", "info", "A detector failed", f"{name} failed: {error}", evidence={"error": error})]
+    return got, {"detector": name, "seconds": round(time.time() - start, 4), "findings": n, "error": error}
 
 
 def inspect(source: Any, *, spark: SparkSession | None = None, config: Any = None, name: str | None = None, nrows: int | None = None, detectors: Sequence[str] | None = None, extra_detectors: Iterable[Any] = (), **overrides) -> Report:
@@ -39,16 +50,15 @@ def inspect(source: Any, *, spark: SparkSession | None = None, config: Any = Non
     runs = []
     try:
         x.schema  # noqa: B018
-        for n, run in _resolve(cfg, detectors, extra_detectors):
-            start = time.time()
-            try:
-                got = list(run(x))
-                error = None
-            except Exception as e:  # a detector's failure is reported, not raised
-                got, error = [], f"{type(e).__name__}: {e}"[:500]
-                found.append(finding(n, "dqlens.detector_error", "pipeline", "info", "A detector failed", f"{n} failed: {error}", evidence={"error": error}))
+        own = _resolve(cfg, detectors)
+        # detectors share passes but not results, so they run at once; those of the caller follow one by one
+        results = at_once(data.df.sparkSession, [lambda n=n, run=run: _run(x, n, run) for n, run in own])
+        results += [_run(x, e.name, e.analyze) for e in extra_detectors]
+        for got, outcome in results:
             found += got
-            runs.append({"detector": n, "seconds": round(time.time() - start, 4), "findings": len(got), "error": error})
+            runs.append(outcome)
+        x.profiles = {n: dict(sorted(p.items())) for n, p in x.profiles.items()}
+        x.sections = dict(sorted(x.sections.items()))
         schema = {n: c.to_dict() for n, c in x.schema.items()}
         for n, c in schema.items():
             x.profiles[n]["schema"] = c
