@@ -26,6 +26,8 @@ TIME_NAME = re.compile(r"(date|time|timestamp|_ts$|^ts$|_at$|day|created|updated
 NOT_TIME_NAME = re.compile(r"(birth|dob|expir|due|planned|scheduled|deadline|valid_(to|until)|end_date)", re.I)
 #: Labels of a column that reach the driver.
 LABELS = 2_000
+#: Positions of rows that a finding names, and the first rows that examples come from.
+POSITIONS, EXAMPLE_ROWS = 10, 20
 #: Passes or detectors that run at once; their jobs share the executors.
 AT_ONCE = 4
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -472,11 +474,37 @@ class Context:
         start = F.element_at(F.array(*[F.lit(o).cast("long") for o in offset]), (F.shiftright("__mid", 33) + 1).cast("int"))
         return d.withColumn("__pos", start + F.col("__mid").bitwiseAND((1 << 33) - 1)).drop("__mid")
 
-    def shown(self, label: Any) -> str:
+    @shared
+    def positioned(self) -> DataFrame:
+        return self.with_positions()
+
+    def rows_where(self, wanted: dict[str, tuple[Column, Column | None]], frame: DataFrame | None = None) -> dict[str, dict]:
+        """Evidence for each key of wanted (a condition and the value that it judges): the positions of the first rows that meet it and, where the settings allow, examples of their values.
+
+        One job for all keys; each partition passes on its first rows only. frame: rows with __pos, if conditions aren't over the table's own columns.
+        """
+        p = self.config.privacy
+        shows = p.include_examples and p.max_examples > 0
+        most = max(POSITIONS, EXAMPLE_ROWS if shows else 0)
+        none = F.lit(None).cast("string")
+        pairs = [F.struct(F.lit(k).alias("key"), hit.alias("hit"), (none if value is None or not shows else value.cast("string")).alias("value")) for k, (hit, value) in wanted.items()]
+        if not pairs:
+            return {}
+        hits = (self.positioned if frame is None else frame).select("__pos", F.inline(F.array(*pairs))).where("hit")
+        first = hits.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("__pos"))).where(f"k <= {most}")
+        out: dict[str, dict] = {k: {"row_examples": []} | ({"examples": []} if shows and wanted[k][1] is not None else {}) for k in wanted}
+        for r in first.orderBy("key", "__pos").collect():
+            if len(out[r.key]["row_examples"]) < POSITIONS:
+                out[r.key]["row_examples"].append(r["__pos"])
+            if "examples" in out[r.key] and len(out[r.key]["examples"]) < p.max_examples:
+                out[r.key]["examples"].append(self.shown(r.value, 40))
+        return out
+
+    def shown(self, label: Any, most: int = 60) -> str:
         """A label as findings may print it."""
         text = str(label)
         if self.config.privacy.redact_labels:
             import hashlib
 
             return f"<label:{hashlib.sha256(text.encode()).hexdigest()[:8]}>"
-        return text if len(text) <= 60 else text[:60] + "…"
+        return text if len(text) <= most else text[:most] + "…"

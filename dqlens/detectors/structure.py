@@ -69,10 +69,12 @@ def missingness(x: Context) -> list[Finding]:
     if len(x.names) >= 2 and some:
         k = sum((C.is_missing(x.df, x.col[n]).cast("int") for n in some), F.lit(0))
         row = x.df.agg(F.count(F.when(k == len(x.names), 1)).alias("empty"), F.count(F.when(k >= 0.5 * len(x.names), 1)).alias("sparse")).head()
+        sparse = row.sparse >= 0.01 * x.n and row.sparse > 0
+        where = x.rows_where(({"empty": (k == len(x.names), None)} if row.empty else {}) | ({"sparse": (k >= 0.5 * len(x.names), None)} if sparse else {}))
         if row.empty:
-            f("missing.empty_rows", "missingness", "warning", "Empty rows", f"{row.empty} rows have no values at all.", evidence={"rows": row.empty}, suggestion="Drop these rows.")
-        if row.sparse >= 0.01 * x.n:
-            f("missing.sparse_rows", "missingness", "info", "Sparse rows", f"{pct(row.sparse / x.n)} of the rows miss half of their values or more.", evidence={"rows": row.sparse})
+            f("missing.empty_rows", "missingness", "warning", "Empty rows", f"{row.empty} rows have no values at all.", evidence={"rows": row.empty} | where["empty"], suggestion="Drop these rows.")
+        if sparse:
+            f("missing.sparse_rows", "missingness", "info", "Sparse rows", f"{pct(row.sparse / x.n)} of the rows miss half of their values or more.", evidence={"rows": row.sparse} | where["sparse"])
     gaps = [n for n in some if x.missing[n] >= 10 and ratio[n] < 1]
     if not gaps:
         return out
@@ -217,4 +219,7 @@ def rules(x: Context) -> list[Finding]:
     own = {x.col[n]: r for n, r in x.config.rules.items() if n in x.col}
     back = {v: k for k, v in x.col.items()}
     says = {"min": "below the least allowed value", "max": "above the largest allowed value", "numeric": "not a number", "allowed": "not an allowed value", "pattern": "not of the required form", "nullable": "missing though a value is required"}
-    return [finding("rules", f"rules.{r.kind}", "rules", "high", "Rule broken", f"{r.n} values of {back[r.column_name]} are {says[r.kind]}.", [back[r.column_name]], evidence={"rows": r.n}, confidence=1.0, rule=f"{r.kind}: {getattr(own[r.column_name], r.kind, '')}") for r in R.violations(x.df, own).collect() if r.n]
+    found = [r for r in R.violations(x.df, own).collect() if r.n]
+    broken = R.conditions(x.df, own) if found else {}
+    where = x.rows_where({f"{r.column_name} {r.kind}": (broken[r.column_name, r.kind], F.col(r.column_name)) for r in found})
+    return [finding("rules", f"rules.{r.kind}", "rules", "high", "Rule broken", f"{r.n} values of {back[r.column_name]} are {says[r.kind]}.", [back[r.column_name]], evidence={"rows": r.n} | where[f"{r.column_name} {r.kind}"], confidence=1.0, rule=f"{r.kind}: {getattr(own[r.column_name], r.kind, '')}") for r in found]

@@ -20,6 +20,13 @@ PLANNED = re.compile(r"(expir|due|planned|scheduled|deadline|valid_(to|until)|en
 def datetime(x: Context) -> list[Finding]:
     out = []
     f = lambda *a, **k: out.append(finding("datetime", *a, **k))
+    wanted = {}
+    for n, p in x.times.items():
+        if p["n"] and x.schema[n].n_present > p["n"]:
+            wanted[f"bad {n}"] = (x.time(n).isNull() & C.present(x.df, x.col[n]).isNotNull(), F.col(x.col[n]))
+        if p["n"] and p["future"]:
+            wanted[f"future {n}"] = (x.time(n) > F.lit(x.now).cast("timestamp_ntz"), None)
+    where = x.rows_where(wanted)
     for n, p in x.times.items():
         c = x.schema[n]
         if not p["n"]:
@@ -27,9 +34,9 @@ def datetime(x: Context) -> list[Finding]:
         x.profiles[n]["datetime"] = {"min": p["min"], "max": p["max"], "granularity": p["granularity"], "distinct": c.n_unique}
         bad = c.n_present - p["n"]
         if bad > 0:
-            f("datetime.unparseable", "temporal", "warning", "Dates that can't be read", f"{bad} values of {n} can't be read as dates.", [n], evidence={"rows": bad, "shapes": [s for s, _, _ in x.shapes[n][:5]]})
+            f("datetime.unparseable", "temporal", "warning", "Dates that can't be read", f"{bad} values of {n} can't be read as dates.", [n], evidence={"rows": bad, "shapes": [s for s, _, _ in x.shapes[n][:5]]} | where[f"bad {n}"])
         if p["future"]:
-            f("datetime.future", "temporal", "info" if PLANNED.search(n) else "warning", "Dates to come", f"{p['future']} values of {n} lie after {x.now}.", [n], evidence={"rows": p["future"], "max": p["max"]})
+            f("datetime.future", "temporal", "info" if PLANNED.search(n) else "warning", "Dates to come", f"{p['future']} values of {n} lie after {x.now}.", [n], evidence={"rows": p["future"], "max": p["max"]} | where[f"future {n}"])
         least = max(2, int(0.0005 * p["n"]))
         if p["default"] >= least or p["ancient"] >= least:
             f("datetime.placeholder", "temporal", "warning", "Default dates", f"{p['default']} values of {n} are dates that systems put in, {p['ancient']} lie before 1900.", [n], evidence={"default": p["default"], "before_1900": p["ancient"]}, confidence=0.6)

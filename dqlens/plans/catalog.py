@@ -505,10 +505,11 @@ def isolation_forest(s, d):
     return scored(read(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount"), ["l_quantity", "l_extendedprice", "l_discount"]).select("l_quantity", "l_extendedprice", "l_discount", F.round("score", 6).alias("score"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_missing, {f'round(avg({c}), 6)' if num else 'CAST(NULL AS DOUBLE)'} AS mean, {f'round(stddev_samp({c}), 6)' if num else 'CAST(NULL AS DOUBLE)'} AS std, {f'CAST(min({c}) AS DOUBLE)' if num else 'CAST(NULL AS DOUBLE)'} AS least, {f'CAST(max({c}) AS DOUBLE)' if num else 'CAST(NULL AS DOUBLE)'} AS largest FROM events" for c, num in (("event_id", True), ("event_type", False), ("value", True))))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_missing, {f'round(avg({c}), 6)' if num else 'CAST(NULL AS DOUBLE)'} AS mean, {f'round(stddev_samp({c}), 6)' if num else 'CAST(NULL AS DOUBLE)'} AS std, {f'CAST(min({c}) AS DOUBLE)' if num else 'CAST(NULL AS DOUBLE)'} AS least, {f'CAST(max({c}) AS DOUBLE)' if num else 'CAST(NULL AS DOUBLE)'} AS largest, CASE WHEN count(DISTINCT {c}) <= 3481 THEN count(DISTINCT {c}) END AS n_unique FROM events" for c, num in (("event_id", True), ("event_type", False), ("value", True))))
 def streaming_profile(s, d):
     from ..streaming import profile as P
 
     e = read(s, d, "events").select("event_id", "event_type", "value")
     parts = [P.state(e.where(F.col("event_id") % 3 == k)) for k in range(3)]
-    return P.profile(parts[0].unionByName(parts[1]).unionByName(parts[2])).drop("distinct_estimate")
+    p = P.profile(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return p.withColumn("n_unique", F.when(F.col("distinct_exact"), F.col("distinct_estimate"))).drop("distinct_estimate", "distinct_exact")

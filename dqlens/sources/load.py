@@ -65,8 +65,15 @@ def infer_text_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def quoted_line_ends(spark: SparkSession, path: str) -> bool:
+    """Whether a field of a delimited file goes over several lines: its first line then has an odd number of quotes."""
+    return not spark.read.text(path).where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    raw = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", False).option("inferSchema", False).csv(path)
+    """Files are split between tasks unless a quoted field has line ends: then a task reads a whole file."""
+    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("inferSchema", False)
+    raw = reader.option("multiLine", quoted_line_ends(spark, path)).csv(path)
     clean = raw.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     return infer_text_types(clean)
 

@@ -199,3 +199,39 @@ def test_imports_without_the_text_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and not any(k.startswith('op1') for k in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60)
+
+
+def test_findings_name_rows_and_show_examples_on_request(spark):
+    rows = [(i, 5.0 + (i % 7), "2026-01-02" if i != 33 else "soon", "a") for i in range(300)]
+    rows[12], rows[250] = (12, 900.0, "2026-01-03", "bad one"), (250, 950.0, "2026-01-03", "a")
+    df = spark.createDataFrame(rows, "k long, x double, day string, label string").repartitionByRange(3, "k").sortWithinPartitions("k")
+    setting = {"rules": {"label": {"allowed": ["a"]}}, "reference_time": NOW}
+    plain = {f.code: f.evidence for f in dqlens.inspect(df, **setting).findings}
+    shown = {f.code: f.evidence for f in dqlens.inspect(df, privacy={"include_examples": True, "max_examples": 1}, **setting).findings}
+    assert plain["rules.allowed"]["row_examples"] == [12] and "examples" not in plain["rules.allowed"]
+    assert shown["rules.allowed"]["examples"] == ["bad one"] and shown["datetime.unparseable"]["examples"] == ["soon"]
+    assert plain["datetime.unparseable"]["row_examples"] == [33]
+    assert plain["outliers.univariate"]["row_examples"] == [12, 250]
+
+
+def test_outliers_are_the_same_with_quantiles_by_ranges(spark, monkeypatch):
+    from dqlens.operators import aggregates
+
+    df = spark.range(2000).select((F.col("id") % 613 + F.when(F.col("id") % 500 == 0, 9000).otherwise(0)).cast("double").alias("x"), (F.exp(F.col("id") % 97 / 10)).alias("y"))
+    few = [f.to_dict() for f in dqlens.inspect(df, detectors=["outliers"]).findings]
+    monkeypatch.setattr(aggregates, "IN_ONE_TASK", 0)
+    assert few and [f.to_dict() for f in dqlens.inspect(df, detectors=["outliers"]).findings] == few
+
+
+def test_quoted_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,t\n1,"two\nlines, and ""quotes"""\n2,plain\n')
+    assert [(r.k, r.t) for r in dqlens.load(str(tmp_path / "a.csv"), spark=spark).df.orderBy("k").collect()] == [(1, 'two\nlines, and "quotes"'), (2, "plain")]
+
+
+def test_distinct_values_of_streams_are_counted_while_few(spark):
+    from dqlens.streaming.profile import profile, state
+
+    parts = [spark.range(a, b).select((F.col("id") % 3000).alias("few"), F.col("id").alias("many")) for a, b in ((0, 9000), (5000, 60000))]
+    got = {r.column_name: r for r in profile(state(parts[0]).unionByName(state(parts[1]))).collect()}
+    assert (got["few"].distinct_estimate, got["few"].distinct_exact) == (3000, True)
+    assert not got["many"].distinct_exact and abs(got["many"].distinct_estimate - 60000) < 6000
