@@ -89,14 +89,17 @@ def tokenized(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = word_ids(path)
-        for pdf in batches:
-            rows = []
-            for key, t in zip(pdf["id"], pdf["text"], strict=True):
-                buf = ids.packed(t or "") + END
-                n = len(buf) // 4
-                whole = zlib.crc32(buf)
-                rows.extend((key, whole, k, s, min(capacity, n - s), zlib.crc32(buf[4 * s : 4 * (s + capacity)])) for k, s in enumerate(range(0, n, capacity)))
-            yield pd.DataFrame(rows, columns=["id", "copy", "piece", "start", "length", "ids_crc32"])
+        try:
+            for pdf in batches:
+                rows = []
+                for key, t in zip(pdf["id"], pdf["text"], strict=True):
+                    buf = ids.packed(t or "") + END
+                    n = len(buf) // 4
+                    whole = zlib.crc32(buf)
+                    rows.extend((key, whole, k, s, min(capacity, n - s), zlib.crc32(buf[4 * s : 4 * (s + capacity)])) for k, s in enumerate(range(0, n, capacity)))
+                yield pd.DataFrame(rows, columns=["id", "copy", "piece", "start", "length", "ids_crc32"])
+        finally:
+            ids.clear()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, copy long, piece int, start long, length long, ids_crc32 long")

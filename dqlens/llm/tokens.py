@@ -27,6 +27,9 @@ class Generations:
     def full(self) -> None:
         self.old, self.new = dict(self.new), _Young(self)
 
+    def clear(self) -> None:
+        self.old, self.new = {}, _Young(self)
+
 
 class _Young(dict):
     def __init__(self, owner: Generations):
@@ -89,8 +92,13 @@ class WordIds:
             self.runs.full()
         return out
 
+    def clear(self) -> None:
+        """To be called at a task's end: an idle worker would hold full caches while the executor does other work."""
+        self.tokens.clear()
+        self.runs.clear()
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """The WordIds of a file, one for a process: a Python worker keeps what it has met from task to task."""
+    """The WordIds of a file, one for a process: a Python worker keeps the tokenizer from task to task."""
     return WordIds(path)

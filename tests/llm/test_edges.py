@@ -224,3 +224,22 @@ def test_mixing_keeps_columns_of_equal_texts(spark):
     rows = [(1, "some words here", "a", x) for x in ("p", "q", None, "p")]
     got = Counter(r.extra for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, extra string")).collect())
     assert got == {"p": 2, "q": 1, None: 1}
+
+
+def test_workers_hold_no_words_between_tasks(spark):
+    """Full caches of idle workers took an executor's memory from the pipeline's other stages."""
+    path, d = tokenizer_path(), spark.range(0, 20_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.hex("id")).alias("text"))
+
+    def held(batches):
+        import pandas as pd
+
+        from dqlens.llm.tokens import word_ids
+
+        ids = word_ids(path)
+        for _ in batches:
+            yield pd.DataFrame({"n": [len(x.new) + len(x.old) for x in (ids.runs, ids.tokens)]})
+
+    first = sorted(packing.tokenized(d, path).collect())
+    assert len(first) == 20_000
+    assert {r.n for r in spark.range(0, 4, 1, 4).mapInPandas(held, "n long").collect()} == {0}
+    assert sorted(packing.tokenized(d, path).collect()) == first
