@@ -252,26 +252,63 @@ def _correlated(df: DataFrame, pairs: Sequence[tuple[str, str, Column, Column]])
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
+#: Distinct values of a column whose ranks are broadcast; a value that one row in COMMON has is looked up so, too; parts that rows without a rank to join are dealt to.
+FEW, COMMON, PARTS = 10_000, 1_000, 1_024
+
+
 def spearman_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rank correlations of pairs; average ranks are over the rows where both columns are present.
 
-    A column has one ranking for each other column with missing values, and one for all others. All rankings are made together: values
-    are counted, summed up by ranges, and given back to their rows, in two shuffles of long rows however many columns there are.
+    A column has one ranking for each other column with missing values, and one for all others. Ranks of columns with few values are looked up
+    in small tables. The other rankings are made together: values are counted, summed up by ranges, and given back to long rows, one for each
+    ranking, in one shuffle, common values by broadcast, so that no task gets all rows of a value. A second shuffle brings the rows together if there are several such rankings.
     """
     base = df.select(*[C.finite(df, c).alias(f"c{i}") for i, c in enumerate(names)])
-    gaps = base.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in base.columns]).head()
+    facts = base.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in base.columns], *[F.approx_count_distinct(c).alias(f"d_{c}") for c in base.columns]).head()
     rankings: dict[tuple[int, int | None], int] = {}
-    number = lambda i, j: rankings.setdefault((i, j if gaps[j] else None), len(rankings))
+    number = lambda i, j: rankings.setdefault((i, j if facts[f"c{j}"] else None), len(rankings))
     pairs = [(i, j, number(i, j), number(j, i)) for i in range(len(names)) for j in range(i + 1, len(names))]
     value = {k: F.col(f"c{i}") if j is None else F.when(F.col(f"c{j}").isNotNull(), F.col(f"c{i}")) for (i, j), k in rankings.items()}
-    entries = F.array(*[F.struct(F.lit(k).alias("ranking"), v.alias("v")) for k, v in value.items()])
-    long = base.withColumn("row", F.monotonically_increasing_id()).select("row", F.inline(entries)).where("v IS NOT NULL")
-    counts = long.groupBy("ranking", "v").agg(F.count(F.lit(1)).alias("n"))
-    rank = running(counts, ["ranking"], "v").select("ranking", "v", (F.col("before") + (F.col("n") + 1) / 2).alias("r"))
-    wide = long.join(rank, ["ranking", "v"]).groupBy("row").agg(*[F.max(F.when(F.col("ranking") == k, F.col("r"))).alias(f"r{k}") for k in value])
+    few = [k for (i, _), k in rankings.items() if facts[f"d_c{i}"] <= FEW][:CHUNK]
+    many = [k for k in value if k not in few]
+
+    def counted(some: list[int]) -> DataFrame:
+        entries = F.array(*[F.struct(F.lit(k).alias("ranking"), value[k].alias("v")) for k in some])
+        return base.select(F.inline(entries)).where("v IS NOT NULL").groupBy("ranking", "v").agg(F.count(F.lit(1)).alias("n"))
+
+    wide, ranks = base, {k: [] for k in few}
+    if few:
+        before = dict.fromkeys(few, 0)
+        for k, v, n in sorted(map(tuple, counted(few).collect())):
+            ranks[k].append((v, before[k] + (n + 1) / 2))
+            before[k] += n
+    for k, rows in ranks.items():
+        small = df.sparkSession.createDataFrame(rows, f"v{k} double, r{k} double")
+        wide = wide.join(F.broadcast(small), value[k] == F.col(f"v{k}"), "left").drop(f"v{k}")
+    if many:
+        wide = _with_ranks(wide, {k: value[k] for k in many}, few, running(counted(many), ["ranking"], "v"), facts["n"])
     return _correlated(wide, [(names[i], names[j], F.col(f"r{a}"), F.col(f"r{b}")) for i, j, a, b in pairs])
 
 
+def _with_ranks(wide: DataFrame, value: dict[int, Column], held: list[int], run: DataFrame, n_rows: int) -> DataFrame:
+    """r0, r1 ... of each row of wide: those in held are there, those of value come from run (ranking, v, n, before)."""
+    rank = run.select("ranking", "v", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("r"))
+    common = rank.where(F.col("n") * COMMON > n_rows).select("ranking", "v", F.col("r").alias("__r"))
+    first, null = min(value), F.lit(None).cast("double")
+    # the first long row of a row carries the ranks it has
+    entry = lambda k: F.struct(F.lit(k).alias("ranking"), value[k].alias("v"), *[(F.col(f"r{f}") if k == first else null).alias(f"r{f}") for f in held])
+    long = wide.withColumn("row", F.monotonically_increasing_id()).select("row", F.inline(F.array(*map(entry, value)))).where((F.col("ranking") == first) | F.col("v").isNotNull())
+    long = long.join(F.broadcast(common), ["ranking", "v"], "left")
+    # missing values and common ones have nothing to join: they are dealt out
+    long = long.withColumn("part", F.when(F.col("v").isNull() | F.col("__r").isNotNull(), 1 + F.pmod("row", F.lit(PARTS))).otherwise(0).cast("long"))
+    # 0, but not a literal: the optimizer would take that out of the keys
+    joined = long.join(rank.select("ranking", "v", "r", F.least("n", F.lit(0)).cast("long").alias("part")), ["ranking", "v", "part"], "left").withColumn("r", F.coalesce("__r", "r"))
+    if len(value) == 1:
+        return joined.withColumnRenamed("r", f"r{first}")
+    ranks = [F.max(F.when(F.col("ranking") == k, F.col("r"))).alias(f"r{k}") for k in value]
+    return joined.repartition("row").groupBy("row").agg(*ranks, *[F.max(f"r{f}").alias(f"r{f}") for f in held])
+
+
 def phi_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Correlations of the missing flags of pairs of columns."""
     return _correlations(df, {c: C.is_missing(df, c).cast("double") for c in names})

@@ -167,3 +167,43 @@ def test_sketch_and_merge(spark):
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=30))
 def test_median_is_between(x):
     assert min(x) <= T.median(x) <= max(x)
+
+
+@pytest.fixture
+def reads(spark):
+    """A function that gives the most records and bytes that one task has read from shuffles since the last call; shuffles have 64 parts."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(keep, ("64", "false", "-1"), strict=True):
+        spark.conf.set(k, v)
+    sc, jvm, seen = spark.sparkContext, spark.sparkContext._jvm, set()
+
+    def most():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        store, records, size = sc._jsc.sc().statusStore(), 0, 0
+        stages = store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        for s in (stages.apply(i) for i in range(stages.size())):
+            if s.stageId() in seen or s.shuffleReadRecords() == 0:
+                continue
+            tasks = store.taskList(s.stageId(), s.attemptId(), 10_000)
+            for m in (tasks.apply(i).taskMetrics().get().shuffleReadMetrics() for i in range(tasks.size())):
+                records, size = max(records, m.recordsRead()), max(size, m.localBytesRead() + m.remoteBytesRead())
+            seen.add(s.stageId())
+        return records, size
+
+    most()
+    yield most
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_no_task_ranks_all_rows_of_a_value(spark, monkeypatch, reads, few):
+    monkeypatch.setattr(A, "FEW", few, raising=False)
+    rows = spark.range(20_000, numPartitions=8).select(F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.rand(3)).alias("a"), F.when(F.col("id") % 3 > 0, F.rand(4)).alias("b"), (F.col("id") % 2).cast("double").alias("c"))
+    p = rows.toPandas()
+    reads()
+    got = A.spearman_matrix(rows, list("abc")).collect()
+    assert reads()[0] < 5_000  # half of the rows have a = 0
+    want = p.corr("spearman")
+    assert len(got) == 3 and all(x.r == pytest.approx(want.loc[x.a, x.b], abs=1e-6) for x in got)
+    assert [x.n for x in got] == [13_333, 20_000, 13_333]
