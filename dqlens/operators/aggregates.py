@@ -56,7 +56,7 @@ def numeric_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 #: Ranges of values that running sums are dealt to, of spearman_matrix(), exact_quantiles() and areas under curves.
 RANGES = 64
-#: Distinct values of a column that one task may hold.
+#: Distinct values that one task may hold.
 IN_ONE_TASK = 1_000_000
 
 
@@ -74,33 +74,38 @@ def running(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return placed.join(F.broadcast(start), [*keys, "__g"]).withColumn("before", F.col("__o") + inside).drop("__g", "__o")
 
 
-def exact_quantiles(df: DataFrame, names: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """column_name, q: exact linear quantiles of each column's finite values as an array; null if it has none.
+def exact_quantiles(df: DataFrame, names: Sequence[str], probabilities: Sequence[float], value=C.finite) -> DataFrame:
+    """column_name, q: exact linear quantiles of each column's value(df, name), finite ones by default, as an array; null if it has none.
 
-    Values are counted in the cluster and summed up by ranges; the values on either side of each place are picked. No task holds the
-    distinct values of a column, as one does that merges the states of percentile(). Where a first pass estimates at most IN_ONE_TASK of them, percentile() gives
-    the same result sooner.
+    Values are counted in the cluster first, so that what one task reads doesn't grow with the tasks before it. Where a first pass estimates at most IN_ONE_TASK
+    distinct values of all columns, percentile() weighs the counts; beyond, they are summed up by ranges and no task holds the distinct values of a column.
     """
-    estimate = df.agg(*[F.approx_count_distinct(C.finite(df, c)) for c in names]).head()
-    if max(estimate) <= IN_ONE_TASK:
-        rows = [F.struct(F.lit(c).alias("column_name"), F.percentile(C.finite(df, c), F.array(*[F.lit(float(p)) for p in probabilities])).alias("q")) for c in names]
-        return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), C.finite(df, c).alias("v")) for c in names])
-    counts = df.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-    run = running(counts, ["column_name"], "v").withColumn("after", F.col("before") + F.col("n"))
-    total = counts.groupBy("column_name").agg(F.sum("n").alias("total"))
-    run = run.join(F.broadcast(total), "column_name")  # a row a column
+    estimate = df.agg(*[F.approx_count_distinct(value(df, c)) for c in names]).head()
+    pairs = F.array(*[F.struct(F.lit(i).alias("column"), value(df, c).alias("v")) for i, c in enumerate(names)])
+    counts = df.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    if sum(estimate) <= IN_ONE_TASK:
+        got = counts.groupBy("column").agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probabilities]), F.col("n")).alias("q"))
+    else:
+        got = quantiles_by_ranges(counts, ["column"], probabilities)
+    rows = [F.struct(F.lit(c).alias("column_name"), F.max(F.when(F.col("column") == i, F.col("q"))).alias("q")) for i, c in enumerate(names)]
+    return got.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def quantiles_by_ranges(counts: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """keys, q: exact linear quantiles of counts (keys, v, n: one row each): running sums by ranges, and the values on either side of each place."""
+    run = running(counts, keys, "v").withColumn("after", F.col("before") + F.col("n"))
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    run = run.join(F.broadcast(total), list(keys))  # a row for each of the keys
     wanted = []
     for j, p in enumerate(probabilities):
         place = F.lit(float(p)) * (F.col("total") - 1)
         low, high = F.floor(place), F.ceil(place)
         has = lambda k: (F.col("before") <= k) & (k < F.col("after"))
         wanted += [F.max(F.when(has(low), F.col("v"))).alias(f"__l{j}"), F.max(F.when(has(high), F.col("v"))).alias(f"__h{j}"), F.first(place - low).alias(f"__w{j}")]
-    got = run.groupBy("column_name").agg(*wanted)
+    got = run.groupBy(*keys).agg(*wanted)
     # as percentile() does: a place between two values weighs both
     mixed = [F.when(F.col(f"__l{j}") == F.col(f"__h{j}"), F.col(f"__l{j}")).otherwise((1 - F.col(f"__w{j}")) * F.col(f"__l{j}") + F.col(f"__w{j}") * F.col(f"__h{j}")) for j in range(len(probabilities))]
-    every = df.sparkSession.createDataFrame([(c,) for c in names], "column_name string")
-    return every.join(F.broadcast(got.select("column_name", F.array(*mixed).alias("q"))), "column_name", "left")
+    return got.select(*keys, F.array(*mixed).alias("q"))
 
 
 def quantile_row(df: DataFrame, names: Sequence[str], probabilities: Sequence[float], prefix: str) -> DataFrame:
@@ -109,9 +114,9 @@ def quantile_row(df: DataFrame, names: Sequence[str], probabilities: Sequence[fl
     return q.agg(*[F.max(F.when(F.col("column_name") == c, F.col("q"))).alias(f"{prefix}{i}") for i, c in enumerate(names)])
 
 
-def quantiles(df: DataFrame, names: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float]]:
+def quantiles(df: DataFrame, names: Sequence[str], probabilities: Sequence[float], value=C.finite) -> dict[str, list[float]]:
     """exact_quantiles() on the driver: a row a column."""
-    return {r.column_name: r.q for r in exact_quantiles(df, names, probabilities).collect()}
+    return {r.column_name: r.q for r in exact_quantiles(df, names, probabilities, value).collect()}
 
 
 def numeric_quantiles(df: DataFrame, names: Sequence[str], probabilities: Sequence[float] = QUANTILES) -> DataFrame:

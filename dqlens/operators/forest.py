@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import spread
+from .aggregates import quantiles, spread
 
 #: Trees, rows of a tree, rows that trees draw theirs from.
 TREES, ROWS, SAMPLE = 100, 256, 200_000
@@ -65,13 +65,14 @@ def scores(x: np.ndarray, trees: Sequence[list[tuple]], rows: int) -> np.ndarray
 def scored(df: DataFrame, names: Sequence[str], seed: int = 0) -> DataFrame:
     """Complete rows of df (names only) with a score; scaled by the medians and quartiles of all of them. Trees draw from SAMPLE rows, by hash of their places."""
     full = df.select(*[F.col(n).cast("double").alias(n) for n in names]).na.drop()
-    facts = full.agg(F.count(F.lit(1)), *[F.percentile(F.col(f"`{n}`"), F.array(*map(F.lit, (0.25, 0.5, 0.75)))) for n in names]).head()
-    if facts[0] < 50:
+    n_rows = full.count()
+    if n_rows < 50:
         return full.withColumn("score", F.lit(0.0))
-    low, mid, high = np.array(facts[1:], float).T
+    quartiles = quantiles(full, names, (0.25, 0.5, 0.75), lambda d, n: F.col(f"`{n}`"))
+    low, mid, high = np.array([quartiles[n] for n in names], float).T
     spreads = high - low
     spreads[spreads == 0] = 1.0
-    sample = spread(full, SAMPLE, facts[0], seed).toPandas().to_numpy(float)
+    sample = spread(full, SAMPLE, n_rows, seed).toPandas().to_numpy(float)
     rng, x = np.random.default_rng(seed), (sample - mid) / spreads
     rows = min(ROWS, len(x))
     trees = [grow(x[rng.choice(len(x), rows, replace=False)], rng, math.ceil(math.log2(rows))) for _ in range(TREES)]

@@ -207,3 +207,17 @@ def test_no_task_ranks_all_rows_of_a_value(spark, monkeypatch, reads, few):
     want = p.corr("spearman")
     assert len(got) == 3 and all(x.r == pytest.approx(want.loc[x.a, x.b], abs=1e-6) for x in got)
     assert [x.n for x in got] == [13_333, 20_000, 13_333]
+
+
+def test_forest_scaling_reads_each_value_once(spark, monkeypatch, reads):
+    import dqlens.operators.forest as forest
+
+    monkeypatch.setattr(forest, "SAMPLE", 1_000)
+    d = spark.range(160_000, numPartitions=32).select((F.col("id") % 5_000 / F.lit(7.0)).alias("x"), (F.col("id") % 3).cast("double").alias("y"), F.when(F.col("id") % 9 > 0, 1.0).otherwise(float("inf")).alias("z"))
+    reads()
+    top = scored(d, ["x", "y"])
+    assert reads()[1] < 200_000  # 32 tasks with 5,000 values each
+    assert top.columns == ["x", "y", "score"]
+    value = lambda t, c: F.col(c)
+    q = A.quantiles(d, ["x", "z"], (0.25, 0.5, 1), value)
+    assert q == {c: d.agg(F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 1.0)))).alias("q")).head().q for c in "xz"} and q["z"][2] == float("inf")
