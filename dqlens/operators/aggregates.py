@@ -340,18 +340,20 @@ def correlation_ratio(df: DataFrame, group: str, value: str) -> DataFrame:
     return t.select(rounded(F.when(between + F.col("w") > 0, F.sqrt(between / (between + F.col("w")))).otherwise(0.0)).alias("eta"))
 
 
-def quantile_bins(df: DataFrame, name: str, bins: int = 10) -> Column:
-    """The number of edges below a value; edges are quantiles, equal ones being one."""
-    edges = exact_quantiles(df, [name], [i / bins for i in range(1, bins)]).head().q or []
-    x, out = C.finite(df, name), F.lit(0)
-    for e in sorted(set(edges)):
-        out = out + F.when(x > e, 1).otherwise(0)
-    return F.when(x.isNotNull(), out.cast("long"))
+def bin_of(x: Column, edges: Sequence[float] | None) -> Column:
+    """The number of distinct edges below a value; null for null. x should be a plain column, as each edge repeats it."""
+    out = F.when(x.isNull(), None)
+    for k, e in enumerate(below := sorted(set(edges or []))):
+        out = out.when(x <= e, k)
+    return out.otherwise(len(below)).cast("long")
 
 
 def mutual_information(df: DataFrame, a: str, b: str, bins: int = 10) -> DataFrame:
-    """Mutual information of two binned columns over the mean of their entropies (geometric)."""
-    p = df.select(quantile_bins(df, a, bins).alias("a"), quantile_bins(df, b, bins).alias("b")).na.drop().groupBy("a", "b").agg(F.count(F.lit(1)).alias("o"))
+    """Mutual information of two columns binned by quantiles over the mean of their entropies (geometric)."""
+    edges = quantiles(df, [a, b], [i / bins for i in range(1, bins)])
+    # rows are dropped before values are binned: a filter on bins would work them out again, from the columns as read
+    both = df.select(C.finite(df, a).alias("a"), C.finite(df, b).alias("b")).na.drop()
+    p = both.select(bin_of(F.col("a"), edges[a]).alias("a"), bin_of(F.col("b"), edges[b]).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("o"))
     t = p.withColumn("ra", F.sum("o").over(Window.partitionBy("a"))).withColumn("cb", F.sum("o").over(Window.partitionBy("b")))
     n = t.agg(F.sum("o").cast("double").alias("n"))
     t = t.join(F.broadcast(n))  # one row

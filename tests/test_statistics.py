@@ -221,3 +221,12 @@ def test_forest_scaling_reads_each_value_once(spark, monkeypatch, reads):
     value = lambda t, c: F.col(c)
     q = A.quantiles(d, ["x", "z"], (0.25, 0.5, 1), value)
     assert q == {c: d.agg(F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 1.0)))).alias("q")).head().q for c in "xz"} and q["z"][2] == float("inf")
+
+
+def test_mutual_information_counts_values_once(spark, reads):
+    d = spark.range(80_000, numPartitions=16).select((F.col("id") % 5_000 / F.lit(7.0)).alias("x"), F.when(F.col("id") % 9 > 0, F.pmod(F.xxhash64("id"), F.lit(5_000)) / F.lit(3.0)).alias("y"))
+    reads()
+    assert A.mutual_information(d, "x", "x").head().nmi == 1 and A.mutual_information(d, "x", "y").head().nmi < 0.01
+    assert reads()[1] < 250_000  # 16 tasks with 5,000 values of each column
+    bins = spark.createDataFrame([(None,), (1.0,), (1.5,), (2.0,), (3.0,)], "v double").select(A.bin_of(F.col("v"), [1.0, 2.0, 2.0]).alias("b"))
+    assert [r.b for r in bins.collect()] == [None, 0, 1, 1, 2]
