@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -257,8 +258,9 @@ def _correlated(df: DataFrame, pairs: Sequence[tuple[str, str, Column, Column]])
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-#: Distinct values of a column whose ranks are broadcast; a value that one row in COMMON has is looked up so, too; parts that rows without a rank to join are dealt to.
-FEW, COMMON, PARTS = 10_000, 1_000, 1_024
+#: Distinct values of a column whose ranks are broadcast; a value that one row in COMMON has is looked up so, too; parts that rows without a rank to join are dealt to;
+#: long rows that one task sorts, about.
+FEW, COMMON, PARTS, TASK_ROWS = 10_000, 1_000, 1_024, 250_000
 
 
 def spearman_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -307,11 +309,21 @@ def _with_ranks(wide: DataFrame, value: dict[int, Column], held: list[int], run:
     # missing values and common ones have nothing to join: they are dealt out
     long = long.withColumn("part", F.when(F.col("v").isNull() | F.col("__r").isNotNull(), 1 + F.pmod("row", F.lit(PARTS))).otherwise(0).cast("long"))
     # 0, but not a literal: the optimizer would take that out of the keys
-    joined = long.join(rank.select("ranking", "v", "r", F.least("n", F.lit(0)).cast("long").alias("part")), ["ranking", "v", "part"], "left").withColumn("r", F.coalesce("__r", "r"))
+    # Spark normalises doubles in keys, which a repartition() by v doesn't match: keys are hashes, and v is compared beside them
+    hashed = lambda v: F.xxhash64(F.col(v) + F.lit(0.0)).alias("h")
+    long = long.select("*", hashed("v"))
+    parts = math.ceil(n_rows * len(value) / TASK_ROWS)
+    if parts > 1:
+        # adaptive execution puts parts together by their compressed size, however many rows that is; a number that is asked for stays
+        long = long.repartition(parts, "ranking", "h", "part")
+    # 0, but not a literal: the optimizer would take that out of the keys
+    right = rank.select(F.col("ranking").alias("ranking2"), F.col("v").alias("v2"), "r", hashed("v").alias("h2"), F.least("n", F.lit(0)).cast("long").alias("part2"))
+    same = (F.col("ranking") == F.col("ranking2")) & (F.col("h") == F.col("h2")) & (F.col("part") == F.col("part2")) & (F.col("v") >= F.col("v2")) & (F.col("v") <= F.col("v2"))
+    joined = long.join(right, same, "left").withColumn("r", F.coalesce("__r", "r"))
     if len(value) == 1:
         return joined.withColumnRenamed("r", f"r{first}")
     ranks = [F.max(F.when(F.col("ranking") == k, F.col("r"))).alias(f"r{k}") for k in value]
-    return joined.repartition("row").groupBy("row").agg(*ranks, *[F.max(f"r{f}").alias(f"r{f}") for f in held])
+    return (joined.repartition(parts, "row") if parts > 1 else joined).groupBy("row").agg(*ranks, *[F.max(f"r{f}").alias(f"r{f}") for f in held])
 
 
 def phi_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:

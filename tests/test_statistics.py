@@ -209,6 +209,15 @@ def test_no_task_ranks_all_rows_of_a_value(spark, monkeypatch, reads, few):
     assert [x.n for x in got] == [13_333, 20_000, 13_333]
 
 
+def test_long_rows_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(A, "FEW", 0)
+    monkeypatch.setattr(A, "TASK_ROWS", 300)
+    rows = spark.range(3_000).select(F.rand(3).alias("a"), F.when(F.col("id") % 3 > 0, F.rand(4)).alias("b"), (F.col("id") % 2).cast("double").alias("c"))
+    want = rows.toPandas().corr("spearman")
+    got = A.spearman_matrix(rows, list("abc"))
+    assert all(x.r == pytest.approx(want.loc[x.a, x.b], abs=1e-6) for x in got.collect())
+
+
 def test_forest_scaling_reads_each_value_once(spark, monkeypatch, reads):
     import dqlens.operators.forest as forest
 
